@@ -56,7 +56,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max("places.word").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(base, F.col("license_spans.label")))), ",").alias("labels"),
-        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.least(F.array_max("license_spans.covered"), F.lit(1.0)), F.lit(0.0))).alias("score"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.least(F.coalesce(F.array_max("license_spans.covered"), F.lit(0.0)), F.lit(1.0))).alias("score"),
     )
 
 
