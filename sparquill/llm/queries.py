@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, licenses, toxicity
+from . import ann, bpe, common, licenses, quality, toxicity
 
 
 def _tokenizer() -> tuple[dict[bytes, int], str]:
@@ -38,6 +38,13 @@ def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     return common.table(spark, sf_dir, "documents").select("doc_id", "text").join(rows, "doc_id").select("text", "label", F.col("doc_id").alias("key"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality.fit(labelled(spark, sf_dir, "quality"))
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.score(docs, model).drop("text")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(labelled(spark, sf_dir, "toxic"))
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,10 +67,17 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_licenses": op5_licenses,
+    "op8_nearest": op8_nearest,
 }
 
 ORACLE_SQL: dict[str, str] = {}
