@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, common, licenses, quality, toxicity
+from . import ann, bpe, common, licenses, minhash, quality, toxicity
 
 
 def _tokenizer() -> tuple[dict[bytes, int], str]:
@@ -67,6 +67,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.group(common.table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_licenses": op5_licenses,
+    "op6_minhash": op6_minhash,
     "op8_nearest": op8_nearest,
 }
 
