@@ -70,6 +70,14 @@ def without(df: DataFrame, names: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df with the hint to broadcast it if a count shows no more than ``rows``; else df, to be joined by a shuffle.
+
+    For narrow rows only (ids, labels, hashes).
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

@@ -34,8 +34,6 @@ from . import common
 from .components import components
 
 SHINGLE, TREES, DEPTHS, SIZES = 5, 20, (4, 6, 8), (32, 256)
-#: Ids that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 _RANDOM = np.random.default_rng(6)
 _MASKS = _RANDOM.integers(0, 1 << 32, TREES * DEPTHS[-1], np.uint32)
@@ -121,8 +119,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """wanted(node, doc_id) to (node, set)."""
-    n = wanted.count()
-    rows = docs.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, "doc_id").select("node", "text")
+    rows = docs.join(common.small(wanted), "doc_id").select("node", "text")
     fields = [T.StructField("same", T.BooleanType()), T.StructField("set", T.ArrayType(T.LongType(), False))]
 
     def make():

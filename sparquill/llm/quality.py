@@ -75,13 +75,16 @@ def project(texts: list[str | None], weights: np.ndarray, basis: np.ndarray) ->
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def fit(train: DataFrame) -> dict:
-    """train(text, label, key): a bounded sample of each label, the first SAMPLE_ROWS by hash of the key."""
-    train = train.where("label in (0, 1)").withColumn("__h", F.xxhash64(F.col("key").cast("string")))
-    shares = {int(r[0]): int(r[1]) for r in train.groupBy("label").count().collect()}  # two rows
-    got = [train.where(F.col("label") == c).orderBy("__h", "key").limit(SAMPLE_ROWS).select("text", "label").toArrow() for c in sorted(shares)]
+def fit(docs: DataFrame, labels: DataFrame) -> dict:
+    """docs(key, text), labels(key, label): a bounded sample of each label, the first SAMPLE_ROWS by hash of the key."""
+    labels = labels.where("label in (0, 1)").select("key", "label").withColumn("__h", F.xxhash64(F.col("key").cast("string")))
+    shares = {int(r[0]): int(r[1]) for r in labels.groupBy("label").count().collect()}  # two rows
+    got = []
+    for c in sorted(shares):
+        some = labels.where(F.col("label") == c).orderBy("__h", "key").limit(SAMPLE_ROWS)
+        got.append(docs.join(F.broadcast(some), "key").select("__h", "key", "text", "label").toArrow().sort_by([("__h", "ascending"), ("key", "ascending")]))
     model = {"prior": shares.get(1, 0) / max(1, sum(shares.values())) if shares else 0.5, "data": None}
-    if len(shares) == 2:
+    if sum(len(g) > 0 for g in got) == 2:
         texts = [t for g in got for t in g.column("text").to_pylist()]
         y = np.array([c for g in got for c in g.column("label").to_pylist()], np.float32)
         x = np.zeros((len(texts), TERMS), np.float32)
@@ -96,7 +99,7 @@ def fit(train: DataFrame) -> dict:
         z = x @ basis
         z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
         vote = np.array([shares[int(c)] / (y == c).sum() for c in y], np.float32)
-        model["data"] = train.sparkSession.sparkContext.broadcast((weights, basis, np.ascontiguousarray(z.T), y, vote))
+        model["data"] = docs.sparkSession.sparkContext.broadcast((weights, basis, np.ascontiguousarray(z.T), y, vote))
     return model
 
 

@@ -32,21 +32,25 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """Texts that labels may be learned from: text, label, key."""
-    rows = common.table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("label")).where("label is not null")
-    return common.table(spark, sf_dir, "documents").select("doc_id", "text").join(rows, "doc_id").select("text", "label", F.col("doc_id").alias("key"))
+def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return common.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+
+
+def learnable(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """The labels that may be learned from: key, label."""
+    rows = common.table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    return rows.select(F.col("doc_id").alias("key"), F.col(label).alias("label"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = quality.fit(labelled(spark, sf_dir, "quality"))
+    model = quality.fit(keyed(spark, sf_dir), learnable(spark, sf_dir, "quality"))
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality.score(docs, model).drop("text")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(labelled(spark, sf_dir, "toxic"))
+    model = toxicity.fit(keyed(spark, sf_dir), learnable(spark, sf_dir, "toxic"))
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.score(docs, model).drop("text")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
