@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, common, licenses, minhash, quality, toxicity
+from . import ann, bpe, common, licenses, minhash, quality, substrings, toxicity
 
 
 def _tokenizer() -> tuple[dict[bytes, int], str]:
@@ -75,6 +75,11 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.group(common.table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.deduplicate(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", common.sha256_of(F.col("kept")).alias("kept_sha256"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_licenses": op5_licenses,
     "op6_minhash": op6_minhash,
+    "op7_substrings": op7_substrings,
     "op8_nearest": op8_nearest,
 }
 
