@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from . import common
 
 ORDER, SLOTS, WINDOW, DISCOUNT = 5, 1 << 20, 12, 0.75
-#: Labelled rows that fit the curve (of a fifth of the training part, the first by hash), and words a worker remembers.
+#: Labelled rows, about, that fit the curve (of a fifth of the training part, by hash), and words a worker remembers.
 CURVE_ROWS, MEMO_WORDS = 20_000, 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -193,14 +193,17 @@ def _features(df: DataFrame, tables, text_col: str) -> DataFrame:
     return common.append_arrow(df, [text_col], make, fields)
 
 
-def fit(train: DataFrame) -> dict:
-    """train(text, label, key): counts from the rows whose key hash isn't 0 modulo 5, the curve from the others."""
-    spark = train.sparkSession
-    train = train.where("label in (0, 1)").withColumn("__h", F.xxhash64(F.col("key").cast("string"), F.lit(5)))
+def fit(docs: DataFrame, labels: DataFrame) -> dict:
+    """docs(key, text), labels(key, label): counts from the rows whose key hash isn't 0 modulo 5, the curve from the others."""
+    spark = docs.sparkSession
+    labels = labels.where("label in (0, 1)").select("key", "label").withColumn("__h", F.xxhash64(F.col("key").cast("string"), F.lit(5)))
     fifth = F.pmod("__h", F.lit(5)) == 0
-    counts = common.stored(count_grams(train.where(~fifth)), "grams")
+    rest = labels.where(~fifth)
+    counts = common.stored(count_grams(docs.join(common.small(rest), "key")), "grams")
     tables = spark.sparkContext.broadcast(ratios(counts))
-    some = train.where(fifth).orderBy("__h", "label").limit(CURVE_ROWS).select("text", "label")
+    n = labels.where(fifth).count()
+    share = F.pmod(F.xxhash64("__h"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, CURVE_ROWS / max(n, 1)))
+    some = docs.join(F.broadcast(labels.where(fifth & share)), "key").select("text", "label")
     rows = _features(some, tables, "text").select("label", "__features").toArrow()
     y = rows.column("label").to_numpy().astype(float)
     model = {"tables": tables, "curve": None, "prior": float(y.mean()) if len(y) else 0.5}
