@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, common, licenses, minhash, quality, substrings, toxicity
+from . import ann, bpe, common, licenses, minhash, quality, substrings, suffixes, toxicity
 
 
 def _tokenizer() -> tuple[dict[bytes, int], str]:
@@ -85,6 +85,11 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.deduplicate(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", common.sha256_of(F.col("kept")).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_quality": op3_quality,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash": op6_minhash,
     "op7_substrings": op7_substrings,
     "op8_nearest": op8_nearest,
+    "op9_suffixes": op9_suffixes,
 }
 
 ORACLE_SQL: dict[str, str] = {}
