@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, common, licenses, minhash, quality, substrings, suffixes, toxicity
+from . import ann, bpe, common, decontaminate, licenses, minhash, quality, substrings, suffixes, toxicity
 
 
 def _tokenizer() -> tuple[dict[bytes, int], str]:
@@ -90,6 +90,12 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", common.sha256_of(F.col("kept")).alias("kept_sha256"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.judge(docs, decontaminate.find(docs, common.table(spark, sf_dir, "benchmark"))).drop("text")
+    return out.withColumn("items", F.array_join("items", ","))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_quality": op3_quality,
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substrings": op7_substrings,
     "op8_nearest": op8_nearest,
     "op9_suffixes": op9_suffixes,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
