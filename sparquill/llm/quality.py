@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-TERMS, RANK, NEIGHBOURS, SAMPLE_ROWS = 4096, 48, 25, 3000
+TERMS, RANK, NEIGHBOURS, SAMPLE_ROWS = 1024, 32, 25, 2000
 SHARPNESS = 8
 _SHAPES = bytes.maketrans(bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B)) + bytes(range(0x30, 0x3A)) + bytes(range(0x80, 0x100)), b"A" * 26 + b"a" * 26 + b"0" * 10 + b"a" * 128)
 _RUNS = re.compile(rb"(.)\1+", re.S)
