@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, common, decontaminate, licenses, minhash, quality, substrings, suffixes, toxicity
+from . import ann, bpe, common, decontaminate, licenses, minhash, pii, quality, substrings, suffixes, toxicity
 
 
 def _tokenizer() -> tuple[dict[bytes, int], str]:
@@ -32,6 +32,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(common.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.KINDS))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *[count(k) for k in pii.KINDS], common.sha256_of(told(base)).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
 def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return common.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
 
@@ -98,6 +106,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_pii": op2_pii,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_licenses": op5_licenses,
