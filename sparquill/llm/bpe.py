@@ -13,6 +13,7 @@ the empty list; an unknown id raises ValueError; repeated rows are encoded alike
 from __future__ import annotations
 
 import base64
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Pieces remembered in each Python worker, and the longest piece that is remembered.
-MEMO_PIECES, MEMO_BYTES = 200_000, 64
+#: Pieces in each of the two generations that a Python worker remembers, and the longest piece that is remembered.
+MEMO_PIECES, MEMO_BYTES = 350_000, 64
 NONE = 1 << 62
 
 
@@ -33,6 +34,19 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(t): int(r) for t, r in (line.split() for line in lines if line.strip())}
 
 
+def _put(tree: list[int], p: int, value: int) -> None:
+    """Change a leaf and the nodes above it, as far as they change."""
+    tree[p] = value
+    while p > 1:
+        other = tree[p ^ 1]
+        if other < value:
+            value = other
+        p >>= 1
+        if tree[p] == value:
+            return
+        tree[p] = value
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece."""
     whole = ranks.get(piece)
@@ -41,65 +55,60 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(piece)
     if n < 2:
         raise ValueError(f"no rank for the byte {piece!r}")
-    width = 1 << (n - 2).bit_length() if n > 2 else 1
+    width = n - 1
     bits = n.bit_length()
     mask = (1 << bits) - 1
     get = ranks.get
-    tree = [NONE] * (2 * width)
-    for i in range(n - 1):
+    tree = [NONE] * width
+    for i in range(width):
         r = get(piece[i : i + 2])
-        if r is not None:
-            tree[width + i] = r << bits | i
+        tree.append(NONE if r is None else r << bits | i)
     for p in range(width - 1, 0, -1):
         a, b = tree[2 * p], tree[2 * p + 1]
         tree[p] = a if a < b else b
     after = list(range(1, n + 2))  # where the token that starts here ends
     before = list(range(-1, n))  # where the token before it starts
-    while tree[1] != NONE:
-        i = tree[1] & mask
+    while (least := tree[1]) != NONE:
+        i = least & mask
         j = after[i]
         k = after[j]
         after[i] = k
         before[k] = i
-        changes = [(j, NONE)] if j < n - 1 else []
+        if j < width:
+            _put(tree, width + j, NONE)
         r = get(piece[i : after[k]]) if k < n else None
-        changes.append((i, NONE if r is None else r << bits | i))
+        _put(tree, width + i, NONE if r is None else r << bits | i)
         if i:
             h = before[i]
             r = get(piece[h:k])
-            changes.append((h, NONE if r is None else r << bits | h))
-        for leaf, value in changes:
-            p = width + leaf
-            tree[p] = value
-            while p > 1:
-                other = tree[p ^ 1]
-                if other < value:
-                    value = other
-                p >>= 1
-                if tree[p] == value:
-                    break
-                tree[p] = value
+            _put(tree, width + h, NONE if r is None else r << bits | h)
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
+        k = after[i]
+        out.append(ranks[piece[i:k]])
+        i = k
     return out
 
 
 class _Memo(dict):
-    """Piece to packed ids; emptied when full, so a worker's memory stays bounded."""
+    """Piece to packed ids, in two generations: when the young one is full it becomes the old one, and what is asked for again moves back. A worker's memory stays bounded."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.old = ranks, {}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8", "replace")
-        packed = np.array(merge(raw, self.ranks), np.int32).tobytes()
-        if len(raw) <= MEMO_BYTES:
-            if len(self) >= MEMO_PIECES:
-                self.clear()
-            self[piece] = packed
+        packed = self.old.get(piece)
+        if packed is None:
+            raw = piece.encode("utf-8", "replace")
+            ids = merge(raw, self.ranks)
+            packed = pack(f"{len(ids)}i", *ids) if len(ids) < 64 else np.array(ids, np.int32).tobytes()
+            if len(raw) > MEMO_BYTES:
+                return packed
+        if len(self) >= MEMO_PIECES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = packed
         return packed
 
 
