@@ -9,8 +9,10 @@ neighbours are those of the longest common prefix.
    The links so found make components.
 3. What is left are pairs of one region but different components. A region's depth adapts to its number of
    rows (SIZES): the denser it is, the longer the prefix that a pair has to share in one of the orders.
-   All these pairs are verified; none is dropped for being one of many. Pairs within a component are not
-   needed, so a region of thousands of near copies doesn't give its square of pairs.
+   Pairs of sparse regions are verified one by one. Rows of dense regions are compared block by block in tasks
+   that return only the links that join components, so thousands of near copies don't give their square of pairs.
+   No pair is dropped for being one of many; in a block, a pair is compared in full unless its signatures agree
+   in 4.5 standard deviations less than the threshold.
 
 A pair at the threshold 0.85 is missed by all orders with a probability of 4e-7 in a sparse region, and of
 8e-5 or 2e-3 in a dense one, where other members of the component link it as a rule.
@@ -34,6 +36,8 @@ from . import common
 from .components import components
 
 SHINGLE, TREES, DEPTHS, SIZES = 5, 20, (4, 6, 8), (32, 256)
+#: Rows of a block of a dense region.
+BLOCK_ROWS = 512
 
 _RANDOM = np.random.default_rng(6)
 _MASKS = _RANDOM.integers(0, 1 << 32, TREES * DEPTHS[-1], np.uint32)
@@ -152,6 +156,51 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, p
     return common.append_arrow(both, ["left", "right"], make, [T.StructField("similar", T.BooleanType())]).where("similar").select("a", "b")
 
 
+def _dense_links(members: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """members(region, node, root, size) to links (a, b) that join different roots.
+
+    A region's rows are dealt to blocks of about BLOCK_ROWS, and each pair of blocks meets in one task, which compares
+    signatures as matrices, then the full sets of pairs that can be similar, and returns the links it needs only.
+    """
+    sets = common.stored(_sets(docs, common.stored(members.select("node").distinct().join(classes, "node"), "wanted"), size), "sets")
+    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("long")
+    rows = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root").join(sets, "node")
+    share = percent / 100
+    least = share - 4.5 * (share * (1 - share) / len(_MASKS)) ** 0.5
+
+    def run(rows: pa.Table) -> pa.Table:
+        node, root, own = (rows.column(c).to_pylist() for c in ("node", "root", "own"))
+        split = rows.column("i")[0] != rows.column("j")[0]
+        found = [x.values.to_numpy().view(np.uint64) for x in rows.column("set")]
+        signs = np.array([signature(x) for x in found])
+        flat, block = signs.reshape(len(found), -1), np.array(own)
+        parent = {r: r for r in root}
+
+        def top(r):
+            while parent[r] != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+
+        links: tuple[list, list] = ([], [])
+        for r in range(len(found) - 1):
+            equal = flat[r + 1 :] == flat[r]
+            near = np.flatnonzero(equal.mean(1) >= least)
+            for o in near[np.argsort(-equal[near].sum(1), kind="stable")] + r + 1:
+                if top(root[r]) == top(root[o]) or split and block[r] == block[o]:
+                    continue
+                shared = len(np.intersect1d(found[r], found[o], True))
+                if 100 * shared >= percent * (len(found[r]) + len(found[o]) - shared):
+                    parent[top(root[r])] = top(root[o])
+                    links[0].append(max(node[r], node[o]))
+                    links[1].append(min(node[r], node[o]))
+        return pa.table({"a": pa.array(links[0], pa.int64()), "b": pa.array(links[1], pa.int64())})
+
+    return rows.groupBy("region", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs. ``percent``: least similarity in hundredths."""
     docs = docs.select(common.quoted(id_col).alias("doc_id"), common.quoted(text_col).alias("text"))
@@ -173,16 +222,17 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     # Regions that still hold several components, each at the depth that fits its number of rows.
     depth = F.when(F.col("rows") <= SIZES[0], F.col("k0")).when(F.col("rows") <= SIZES[1], F.col("k1")).otherwise(F.col("k2"))
-    members = near.select("node", depth.alias("region")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = near.select("node", depth.alias("region"), (F.col("rows") > SIZES[0]).alias("dense")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members = common.stored(members, "members")
-    mixed_ = members.groupBy("region").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("region")
-    members = common.stored(members.join(mixed_, "region", "left_semi"), "mixed")
-    left, right = members.withColumnsRenamed({"node": "a", "root": "x"}), members.withColumnsRenamed({"node": "b", "root": "y"})
+    open_ = members.groupBy("region").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("region", "size")
+    members = common.stored(members.join(open_, "region"), "open")
+    sparse = members.where("not dense").select("region", "node", "root")
+    left, right = sparse.withColumnsRenamed({"node": "a", "root": "x"}), sparse.withColumnsRenamed({"node": "b", "root": "y"})
     rest = left.join(right, "region").where("x < y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = common.stored(rest.join(best, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(verified(rest, docs, named, size, percent))
-        roots = components(links)
+    more = common.stored(verified(rest, docs, named, size, percent).unionByName(_dense_links(members.where("dense"), docs, named, size, percent)), "more")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
 
     roots = common.stored(named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
     ids = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
