@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import ann, bpe, common, decontaminate, licenses, minhash, pii, quality, substrings, suffixes, toxicity
 
 
-def _tokenizer() -> tuple[dict[bytes, int], str]:
+def tokenizer() -> tuple[dict[bytes, int], str]:
     import public_tokenizers
 
     return bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
@@ -23,7 +23,7 @@ def held_out(key: Column) -> Column:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe.round_trip(docs, *_tokenizer()).drop("text")
+    out = bpe.round_trip(docs, *tokenizer()).drop("text")
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
