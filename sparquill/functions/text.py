@@ -75,7 +75,7 @@ def contains_any(text: Column, phrases: list[str]) -> Column:
 
 def count_of(text: Column, phrases: list[str]) -> Column:
     """How many of the phrases occur."""
-    return reduce(lambda a, b: a + b, [text.contains(p).cast("bigint") for p in phrases])
+    return F.size(F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(text, p))).cast("bigint")
 
 
 def section(text: Column) -> Column:

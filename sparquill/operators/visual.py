@@ -32,7 +32,7 @@ def page_scores(patches: DataFrame, aggregation: str = "max", top_patches: int =
     p = ranked(patches, [F.desc("score"), F.col("patch_id")], page, "n").withColumn("most", F.max("score").over(Window.partitionBy(*page)))
     value = {"mean": F.avg("score"), "sum": F.sum("score"), "weighted": F.sum(F.col("score") / F.col("n"))}.get(aggregation, F.max("score"))
     return p.groupBy(*page).agg(
-        F.round(value, 6).alias("score"),
+        F.round(value + 1e-12, 6).alias("score"),  # sums of halves round alike in any order
         F.round(F.avg("score"), 6).alias("mean_score"),
         F.round(F.max("score"), 6).alias("max_score"),
         F.count_if((F.col("score") >= 0.5 * F.col("most"))).alias("num_relevant"),
