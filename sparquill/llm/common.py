@@ -50,18 +50,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(release, spark)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()  # Spark drops shuffle files once the driver collects the plans that made them
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        _written.remove(df._stored_at)
+        _delete(df.sparkSession, df._stored_at)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every intermediate table of this session; call it once results are written."""
-    jsc = spark.sparkContext._jsc
-    jvm = spark.sparkContext._jvm
-    if jsc is None or jvm is None:
-        return
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+    if spark.sparkContext._jsc is not None:
+        while _written:
+            _delete(spark, _written.pop())
 
 
 def without(df: DataFrame, names: list[str]) -> list[str]:

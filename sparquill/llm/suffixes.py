@@ -106,63 +106,39 @@ def _few(df: DataFrame, column: str) -> DataFrame:
     return F.broadcast(df) if n[0] <= BROADCAST_NUMBERS // 8 and (n[1] or 0) <= BROADCAST_NUMBERS else df
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, size: int, gram: int) -> DataFrame:
-    """wanted(key, row, at, low, high) with the bytes around: context (size - gram bytes before and size after, as far as they go) and left (how many are before)."""
-    lists = wanted.groupBy("key", "row").agg(F.collect_set(F.struct("at", "low", "high")).alias("places"))
-    lists = common.stored(lists, "places")
-    rows = docs.select("key", "row", "text").join(_few(lists, "places"), ["key", "row"])
-    names = ["key", "row", "at", "low", "high", "left", "context"]
-
-    def run(batches):
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 64):
-                part = batch.slice(begin, 64)
-                out: list[list] = [[] for _ in names]
-                for key, row, text, places in zip(*[part.column(i).to_pylist() for i in range(4)]):
-                    raw = (text or "").encode("utf-8", "replace")
-                    for p in places:
-                        at = p["at"]
-                        left = min(at, size - gram)
-                        for into, v in zip(out, (key, row, at, p["low"], p["high"], left, raw[at - left : at + size])):
-                            into.append(v)
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
-
-    return rows.mapInArrow(run, "key long, row long, at int, low int, high int, left int, context binary")
-
-
 def _parts(x: int, y: int) -> list[tuple[int, int]]:
     step = -(-(y - x + 1) // PARTS)
     return [(a, min(a + step - 1, y)) for a in range(x, y + 1, step)]
 
 
-def _ranked(states: DataFrame, size: int) -> DataFrame:
-    """states(.., rank, x, y, low, high, left, context) to their parts: common (hash of the common string) and whole (of all bytes that the windows cover; null beyond the text)."""
-    kept = ["key", "row", "at", "low", "high", "left", "context", "rank", "x", "y"]
+def _ranked(texts: DataFrame, states: DataFrame, size: int) -> DataFrame:
+    """states(key, row, at, low, high, rank, x, y, done) to their parts: common (hash of the common string) and whole (of all bytes that the windows cover; 0 beyond the text)."""
+    names = ["at", "low", "high", "rank", "x", "y", "done"]
+    lists = states.groupBy("key", "row").agg(F.collect_list(F.struct(*names)).alias("states"))
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
 
     def run(batches):
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            for begin in range(0, batch.num_rows, common.SLICE_ROWS):
-                part = batch.slice(begin, common.SLICE_ROWS)
-                source, new_x, new_y, common_, whole = [], [], [], [], []
-                columns = [part.column(i).to_pylist() for i in (3, 4, 5, 6, 8, 9)]
-                for i, (low, high, left, context, x, y) in enumerate(zip(*columns)):
-                    for a, b in _parts(x, y):
-                        if b < low or a > high or left - a < 0 or left + size - b > len(context):
-                            continue  # not its windows, or all of them beyond the text
-                        source.append(i)
-                        new_x.append(a)
-                        new_y.append(b)
-                        common_.append(np.int64(np.uint64(digest(context[left - a : left + size - b]))))
-                        inside = left - b >= 0 and left + size - a <= len(context)
-                        whole.append(np.int64(np.uint64(digest(context[left - b : left + size - a], 7))) if inside else None)
-                at = pa.array(source, pa.int64())
-                out = [part.column(i).take(at) for i in range(8)] + [pa.array(new_x, pa.int32()), pa.array(new_y, pa.int32()), pa.array(common_, pa.int64()), pa.array(whole, pa.int64())]
-                yield pa.RecordBatch.from_arrays(out, [*kept, "common", "whole"])
-
-    schema = "key long, row long, at int, low int, high int, left int, context binary, rank long, x int, y int, common long, whole long"
-    return states.select(kept).mapInArrow(run, schema)
+            for begin in range(0, batch.num_rows, 64):
+                part = batch.slice(begin, 64)
+                out = []
+                for key, row, text, own in zip(*[part.column(i).to_pylist() for i in range(4)]):
+                    raw = (text or "").encode("utf-8", "replace")
+                    for s in own:
+                        at, low, high = s["at"], s["low"], s["high"]
+                        for a, b in _parts(s["x"], s["y"]):
+                            if b < low or a > high or a > at or at + size - b > len(raw):
+                                continue  # not its windows, or all of them beyond the text
+                            inside = b <= at and at + size - a <= len(raw)
+                            whole = digest(raw[at - b : at + size - a], 7) | 1 if inside else 0
+                            out.append((key, row, at, low, high, s["rank"], a, b, s["done"], digest(raw[at - a : at + size - b]), whole))
+                columns = list(zip(*out)) or [[] for _ in kinds]
+                signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns[9:]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[:9], kinds)] + signed, ["key", "row", *names, "common", "whole"])
+
+    schema = "key long, row long, at int, low int, high int, rank long, x int, y int, done boolean, common long, whole long"
+    return texts.join(lists, ["key", "row"]).select("key", "row", "text", "states").mapInArrow(run, schema)
 
 
 def _spans(columns) -> list[pa.Array]:
@@ -180,37 +156,39 @@ def _spans(columns) -> list[pa.Array]:
 
 def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """docs(key, row, text) to (key, row, spans): the bytes to remove, as begin, end, begin, end, ..."""
-    table = common.stored(_anchor_table(docs, size, gram), "anchors")
+    first = common.stored(_anchor_table(docs, size, gram), "anchors")
     cover = lambda low, high: [(F.col("at") - high).alias("begin"), (F.col("at") - low + size).alias("end")]
 
     # First round: ranks are grams; anchors whose whole surroundings are another's are done, but one of them goes on.
-    same = table.where("whole <> 0").groupBy("whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "row", "at")).alias("one")).where("n > 1")
+    same = first.where("whole <> 0").groupBy("whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "row", "at")).alias("one")).where("n > 1")
     same = common.stored(same, "same")
-    table = table.join(same.drop("n"), "whole", "left").withColumn("done", F.col("one").isNotNull())
+    table = first.join(same.drop("n"), "whole", "left").withColumn("done", F.col("one").isNotNull())
     table = table.withColumn("goes", ~F.col("done") | (F.col("one") == F.struct("key", "row", "at")))
     table = common.stored(table.drop("one", "whole"), "classes")
+    common.discard(first, same)
     removed = [table.where("done").select("key", "row", *cover(F.col("low"), F.col("high")))]
     going = table.where("goes")
     repeated = common.stored(going.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
-    going = common.stored(going.join(repeated, "gram").select("key", "row", "at", "low", "high", "gram", "done"), "going")
-    states = _contexts(docs, going, size, gram)
-    ranks = going.select("key", "row", "at", F.col("gram").alias("rank"), "done").distinct()
-    states = common.stored(states.join(ranks, ["key", "row", "at"]).withColumns({"x": F.lit(0), "y": F.lit(size - gram)}), "states")
+    states = going.join(repeated, "gram").select("key", "row", "at", "low", "high", F.col("gram").alias("rank"), F.lit(0).alias("x"), F.lit(size - gram).alias("y"), "done")
+    states = common.stored(states, "states")
+    open_ = common.stored(states.select("key", "row").distinct(), "rows")
+    texts = common.stored(docs.select("key", "row", "text").join(common.small(open_), ["key", "row"], "left_semi").dropDuplicates(["key", "row"]), "texts")
 
     width = size - gram + 1
     while width > 1:
         width = -(-width // PARTS)
         # A state that is done goes on for others only; what it removes is known.
-        marks = states.select("key", "row", "at", "x", "y", "done").withColumnsRenamed({"x": "px", "y": "py"}).distinct()
-        parts = common.stored(_ranked(states, size), "parts")
-        group = ["rank", "x", "y", "common"]
-        shared = parts.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        wholes = parts.where("whole is not null").groupBy(*group, "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "row", "at")).alias("one")).where("n > 1").drop("n")
-        parts = parts.join(shared, group).join(common.stored(wholes, "wholes"), [*group, "whole"], "left")
-        parts = parts.join(marks, (parts.key == marks.key) & (parts.row == marks.row) & (parts["at"] == marks["at"]) & (parts.x >= marks.px) & (parts.y <= marks.py)).select(parts["*"], "done")
-        equal = F.col("one").isNotNull()
+        parts = common.stored(_ranked(texts, states, size).withColumn("rank", F.xxhash64("rank", "x", "y")), "parts")
+        group = ["rank", "common"]
+        wholes = parts.groupBy(*group, "whole").agg(F.count(F.lit(1)).alias("equal"), F.min(F.struct("key", "row", "at")).alias("one"))
+        wholes = common.stored(wholes, "wholes")
+        shared = wholes.groupBy(*group).agg(F.sum("equal").alias("n")).where("n > 1").drop("n")
+        shared = common.stored(wholes.join(shared, group), "shared")
+        ranked, parts = parts, parts.join(shared, [*group, "whole"])
+        equal = (F.col("equal") > 1) & (F.col("whole") != 0)
         parts = parts.withColumns({"rank": F.xxhash64(*group), "fresh": equal & ~F.col("done"), "goes": ~equal | (F.col("one") == F.struct("key", "row", "at")), "done": equal | F.col("done")})
-        parts = common.stored(parts.drop("one", "common", "whole"), "parts")
+        parts = common.stored(parts.drop("one", "common", "whole", "equal"), "judged")
+        common.discard(ranked, wholes, shared)
         removed.append(parts.where("fresh").select("key", "row", *cover(F.greatest("x", "low"), F.least("y", "high"))))
         states = parts.where("goes").drop("fresh", "goes")
     spans = removed[0]
