@@ -104,7 +104,7 @@ def _hits(docs: DataFrame, masks: list[str], known: hashing.Filter | None) -> Da
                 text = np.repeat(np.arange(len(rows)), np.diff(ends))
                 for mask in masks:
                     h = seeds(words, mask)
-                    at = np.flatnonzero(shared.value.has(h)) if shared.value is not None else np.arange(len(h))
+                    at = np.flatnonzero(shared.value.has(hashing.token(h))) if shared.value is not None else np.arange(len(h))
                     at = at[text[at] == text[at + len(mask) - 1]]
                     own = text[at]
                     columns = [part.column(i).take(pa.array(own)) for i in (0, 1)]
@@ -125,7 +125,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     known = None
     if n <= hashing.FILTER_KEYS:
         known = hashing.Filter(FILTER_BITS if n <= 1 << (FILTER_BITS - 4) else hashing.FILTER_BITS)
-        known.add(hashes.toArrow().column("hash").to_numpy())
+        known.add(hashing.token(hashes.toArrow().column("hash").to_numpy()))
     hits = _hits(source.select("id", "row", "text"), masks, known).join(common.small(index.drop("mask")), "hash")
     lies = hits.select("id", "row", "item", (F.col("at") - F.col("place")).alias("at")).distinct()
     lies = common.stored(lies, "lies")

@@ -64,13 +64,21 @@ class Filter:
         return (self.map[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
 
 
+def token(*columns: np.ndarray) -> np.ndarray:
+    """One 64-bit key for the values of several columns."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = mixed(out * STEP + np.ascontiguousarray(c).view(np.uint64))
+    return out
+
+
 def key_filter(keys: DataFrame, most: int = FILTER_KEYS) -> Filter | None:
-    """A filter of the stored one-column table of keys; none if there are more than ``most``."""
+    """A filter of the tokens of a stored table of long columns; none if there are more than ``most``."""
     if keys.count() > most:
         return None
     out = Filter()
     for batch in keys.toArrow().to_batches():
-        out.add(batch.column(0).to_numpy())
+        out.add(token(*[c.to_numpy() for c in batch.columns]))
     return out
 
 

@@ -9,7 +9,8 @@ its existence depends on; at the ends of a document it depends on a word beyond,
 A window of WINDOW words is keyed by one symbol of the highest round of which its own words determine any, the
 one with the smallest hash; if none is, by itself. Equal windows so have equal keys, and neighbouring windows
 mostly share one. One aggregation over the keys tells which occur in several documents; only windows with such
-keys are compared, by 128-bit hashes of all their words, which verifies the repeat.
+keys are compared, by 128-bit hashes of all their words, which verifies the repeat: first runs of windows as wholes,
+then single windows of the runs that remain.
 
 Edge cases: a null, empty or blank text has no words; a text shorter than a window loses nothing; rows with a
 null id neither lose words nor cost others theirs; rows that repeat an id are judged each by its own words, and
@@ -18,8 +19,6 @@ never against one another; repeats within one document stay.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -89,7 +88,7 @@ class Windows:
         text = np.repeat(np.arange(len(rows)), np.diff(self.ends))
         n = len(words)
         at = np.arange(n)
-        self.prefixes = hashing.prefix_hashes(words)
+        self.prefixes, self.others = hashing.prefix_hashes(words), hashing.prefix_hashes(words, hashing.MIX)
         self.begin = at[: max(0, n - size + 1)]
         self.begin = self.begin[text[self.begin] == text[self.begin + size - 1]]
         self.text = text[self.begin]
@@ -120,16 +119,20 @@ class Windows:
             best = np.where(better, rank[at], best)
         return found, between(self.prefixes, symbols.low[chosen], symbols.high[chosen])
 
-    def hashes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes of each of the windows."""
-        begin = self.begin[which]
-        one = between(self.prefixes, begin, begin + self.size)
-        two = np.zeros(len(begin), np.uint64)
-        sums, rising = self.prefixes
-        for i in range(self.size):  # single words again, from the prefix sums
-            word = (sums[begin + i + 1] - sums[begin + i]) * rising[begin + i + 1]
-            two = mixed(two * hashing.MIX + word)
-        return one, two
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """First window and number of windows of each run of neighbours with one key."""
+        if not len(self.begin):
+            return self.begin, self.begin
+        fresh = np.ones(len(self.keys), bool)
+        fresh[1:] = (self.keys[1:] != self.keys[:-1]) | (self.text[1:] != self.text[:-1])
+        first = np.flatnonzero(fresh)
+        return first, np.diff(np.append(first, len(fresh)))
+
+    def hashes(self, first: np.ndarray, count: np.ndarray | int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of the words of ``count`` windows from each of ``first`` on."""
+        begin = self.begin[first]
+        end = begin + count - 1 + self.size
+        return between(self.prefixes, begin, end).view(np.int64), between(self.others, begin, end).view(np.int64)
 
 
 def _shown(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -137,90 +140,129 @@ def _shown(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumn("row", F.xxhash64("text"))
 
 
-def repeated_keys(docs: DataFrame, size: int) -> DataFrame:
-    """(key, doc_id) of every document's windows to the keys that stand in several documents."""
+def _scan(source: DataFrame, size: int, schema: str, rows_of) -> DataFrame:
+    """rows_of(windows, batch) for each slice of source, whose columns are doc_id, row, text and what else rows_of reads."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, common.SLICE_ROWS):
                 part = batch.slice(at, common.SLICE_ROWS)
-                w = Windows(part.column(1).to_pylist(), size)
-                fresh = np.ones(len(w.keys), bool)
-                fresh[1:] = (w.keys[1:] != w.keys[:-1]) | (w.text[1:] != w.text[:-1])
-                ids = part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(w.keys[fresh].view(np.int64)), pa.array(ids[w.text[fresh]])], ["key", "doc_id"])
+                w = Windows(part.column(2).to_pylist(), size)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows_of(w, part)], names)
+
+    return source.mapInArrow(run, schema)
 
-    pairs = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "key long, doc_id long")
+
+def repeated_keys(source: DataFrame, size: int) -> DataFrame:
+    """The keys that stand in several documents."""
+
+    def rows_of(w: Windows, part: pa.RecordBatch) -> list:
+        first, _ = w.runs()
+        return [w.keys[first].view(np.int64), part.column(0).to_numpy()[w.text[first]]]
+
+    pairs = _scan(source, size, "key long, doc_id long", rows_of)
     return pairs.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("key")
 
 
-def _candidates(docs: DataFrame, keys: DataFrame, size: int, most: int) -> DataFrame:
-    """Windows whose key is repeated: h1, h2, doc_id, row, at."""
+_RUN = "h1 long, h2 long, key long, doc_id long, row long, at int, n int"
+
+
+def _run_rows(w: Windows, part: pa.RecordBatch, first: np.ndarray, count: np.ndarray) -> list:
+    one, two = w.hashes(first, count)
+    text = w.text[first]
+    ids, row = part.column(0).to_numpy()[text], part.column(1).to_numpy()[text]
+    return [one, two, w.keys[first].view(np.int64), ids, row, (w.begin[first] - w.ends[text]).astype(np.int32), count.astype(np.int32)]
+
+
+def repeated_runs(source: DataFrame, keys: DataFrame, size: int, most: int) -> DataFrame:
+    """Runs of windows whose key stands in several documents, with hashes of all their words."""
     known = hashing.key_filter(keys, most)
-    source = docs.where("doc_id is not null").select("doc_id", "row", "text")
     if known is None:
-        source = source.join(_keys_of(source, keys, size), ["doc_id", "row"])
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    names = ["h1", "h2", "doc_id", "row", "at"]
+        def all_of(w: Windows, part: pa.RecordBatch) -> list:
+            return _run_rows(w, part, *w.runs())
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, common.SLICE_ROWS):
-                part = batch.slice(at, common.SLICE_ROWS)
-                w = Windows(part.column(2).to_pylist(), size)
-                if shared.value is not None:
-                    which = np.flatnonzero(shared.value.has(w.keys))
-                else:
-                    own = [np.asarray(x.values) for x in part.column(3)]
-                    which = np.concatenate([np.zeros(0, np.int64)] + [np.flatnonzero(w.text == i)[np.isin(w.keys[w.text == i].view(np.int64), k)] for i, k in enumerate(own)])
-                one, two = w.hashes(which)
-                text = w.text[which]
-                ids, row = part.column(0).to_numpy()[text], part.column(1).to_numpy()[text]
-                columns = [one.view(np.int64), two.view(np.int64), ids, row, (w.begin[which] - w.ends[text]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+        return _scan(source, size, _RUN, all_of).join(keys, "key", "left_semi")
+    shared = source.sparkSession.sparkContext.broadcast(known)
 
-    return source.mapInArrow(run, "h1 long, h2 long, doc_id long, row long, at int")
+    def rows_of(w: Windows, part: pa.RecordBatch) -> list:
+        first, count = w.runs()
+        which = shared.value.has(hashing.token(w.keys[first]))
+        return _run_rows(w, part, first[which], count[which])
 
+    return _scan(source, size, _RUN, rows_of)
 
-def _keys_of(source: DataFrame, keys: DataFrame, size: int) -> DataFrame:
-    """For each document its repeated keys, by a shuffle; the way for more keys than a filter takes."""
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, common.SLICE_ROWS):
-                part = batch.slice(at, common.SLICE_ROWS)
-                w = Windows(part.column(2).to_pylist(), size)
-                ids, row = part.column(0).to_numpy()[w.text], part.column(1).to_numpy()[w.text]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(row), pa.array(w.keys.view(np.int64))], ["doc_id", "row", "key"])
+def single_windows(source: DataFrame, runs: DataFrame, sources: DataFrame, size: int, most: int) -> DataFrame:
+    """Each window of the runs that are the first of their words, sources(h1, h2, x)."""
+    known = hashing.key_filter(sources, most)
+    schema = "h1 long, h2 long, doc_id long, row long, at int"
 
-    pairs = source.mapInArrow(run, "doc_id long, row long, key long").distinct()
-    return pairs.join(keys, "key").groupBy("doc_id", "row").agg(F.collect_list("key").alias("keys"))
+    def parts_of(w: Windows, part: pa.RecordBatch, first: np.ndarray, count: np.ndarray) -> list:
+        which = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        one, two, _, ids, row, at, _ = _run_rows(w, part, which, np.ones(len(which), np.int64))
+        return [one, two, ids, row, at]
 
+    if known is None:
+        own = runs.join(sources, ["h1", "h2"]).where("doc_id = x").groupBy("doc_id", "row").agg(F.collect_set("at").alias("starts"))
 
-def _spans(starts: np.ndarray, size: int) -> np.ndarray:
-    """Begin, end, begin, end, ... of the union of [start, start + size)."""
-    starts = np.unique(starts)
+        def listed(w: Windows, part: pa.RecordBatch) -> list:
+            first, count = w.runs()
+            text = w.text[first]
+            at = w.begin[first] - w.ends[text]
+            wanted = [set(x.as_py()) for x in part.column(3)]
+            which = np.fromiter((a in wanted[t] for a, t in zip(at.tolist(), text.tolist())), bool, len(at))
+            return parts_of(w, part, first[which], count[which])
+
+        return _scan(source.join(own, ["doc_id", "row"]), size, schema, listed)
+    shared = source.sparkSession.sparkContext.broadcast(known)
+
+    def rows_of(w: Windows, part: pa.RecordBatch) -> list:
+        first, count = w.runs()
+        one, two = w.hashes(first, count)
+        which = shared.value.has(hashing.token(one, two, part.column(0).to_numpy()[w.text[first]]))
+        return parts_of(w, part, first[which], count[which])
+
+    return _scan(source, size, schema, rows_of)
+
+
+def _spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Begin, end, begin, end, ... of the union of the ranges."""
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
     new = np.ones(len(starts), bool)
-    new[1:] = starts[1:] > starts[:-1] + size
+    new[1:] = starts[1:] > reach[:-1]
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(starts)) - 1
-    return np.column_stack([starts[first], starts[last] + size]).ravel()
+    return np.column_stack([starts[first], reach[np.append(first[1:], len(starts)) - 1]]).ravel()
 
 
 def repeated_spans(docs: DataFrame, size: int = WINDOW, most_keys: int = hashing.FILTER_KEYS) -> DataFrame:
-    """docs(doc_id, text, row) to (doc_id, row, spans): the words to remove, as begin, end, begin, end, ..."""
-    keys = common.stored(repeated_keys(docs, size), "keys")
-    windows = common.stored(_candidates(docs, keys, size, most_keys), "windows")
-    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("h1", "h2", "x")
-    least = common.stored(least, "least")
-    later = windows.join(least, ["h1", "h2"]).where("doc_id > x")
-    marked = later.groupBy("doc_id", "row").agg(F.collect_list("at").alias("starts"))
+    """docs(doc_id, text, row) to (doc_id, row, spans): the words to remove, as begin, end, begin, end, ...
+
+    A run of windows whose words are all those of a run in a smaller document goes as a whole. Only the first runs of
+    their words, under keys that have runs of different words, are taken apart into windows.
+    """
+    source = docs.where("doc_id is not null").select("doc_id", "row", "text")
+    keys = common.stored(repeated_keys(source, size), "keys")
+    runs = common.stored(repeated_runs(source, keys, size, most_keys), "runs")
+    least = common.stored(runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("x"), F.first("key").alias("key")), "least")
+    several = least.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key")
+    sources = common.stored(least.join(several, "key", "left_semi").select("h1", "h2", "x"), "sources")
+    windows = common.stored(single_windows(source, runs, sources, size, most_keys), "windows")
+    equal = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("h1", "h2", "x")
+    equal = common.stored(equal, "equal")
+    later = windows.join(equal, ["h1", "h2"]).where("doc_id > x").select("doc_id", "row", "at", (F.col("at") + size).alias("end"))
+    later = common.stored(later, "later")
+    whole = runs.join(least.select("h1", "h2", "x"), ["h1", "h2"]).where("doc_id > x").select("doc_id", "row", "at", (F.col("at") + F.col("n") - 1 + size).alias("end"))
+    marked = later.unionByName(whole).groupBy("doc_id", "row").agg(F.collect_list("at").alias("starts"), F.collect_list("end").alias("ends"))
 
     def make():
-        return lambda columns: [hashing.list_of([_spans(np.asarray(x.values), size) for x in columns[0]], pa.int32())]
+        return lambda columns: [hashing.list_of([_spans(np.asarray(x.values), np.asarray(y.values)) for x, y in zip(*columns)], pa.int32())]
 
-    out = common.append_arrow(marked, ["starts"], make, [T.StructField("spans", T.ArrayType(T.IntegerType()))])
-    return common.stored(out.select("doc_id", "row", "spans"), "spans")
+    out = common.append_arrow(marked, ["starts", "ends"], make, [T.StructField("spans", T.ArrayType(T.IntegerType()))])
+    out = common.stored(out.select("doc_id", "row", "spans"), "spans")
+    common.discard(keys, runs, least, sources, windows, equal, later)
+    return out
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
