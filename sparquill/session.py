@@ -2,8 +2,27 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_sent: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once, unless their path has it anyway."""
+    root = Path(__file__).resolve().parents[1]
+    app = spark.sparkContext.applicationId
+    paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if app in _sent or any(Path(p).resolve() == root for p in paths):
+        return
+    folder = tempfile.mkdtemp(prefix="sparquill-code-")
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/sparquill", "zip", root, "sparquill"))
+    _sent.add(app)
+
 
 def session(app: str = "sparquill", **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; further settings by name, with double underscores for dots."""
