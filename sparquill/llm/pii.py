@@ -115,7 +115,8 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     candidates = common.stored(kinds.where(F.col("support") >= SUPPORT).join(met, ["entity", "term"]), "candidates")
     words = docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     known = common.small(candidates.select("term").distinct())
-    n_term = common.stored(words.join(known, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term")), "terms")
+    # An inner join: Spark would push a semi join below the counts and join each word of the corpus.
+    n_term = common.stored(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(known, "term"), "terms")
     n_entity = entities.groupBy("entity", "row").agg(F.count(F.lit(1)).alias("x")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     n = docs.count()
     scored = candidates.join(n_term, "term").join(n_entity, "entity")
