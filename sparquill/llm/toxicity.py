@@ -1,19 +1,20 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class (toxic, ordinary) has an interpolated Kneser-Ney model of order ORDER over the bytes of
-words. The highest order counts each class by itself; all lower orders share continuation counts of
-both classes, so an expression that a class has rarely or never seen is smoothed by what is known of
-it at all, and cancels out of the comparison. The log-likelihoods are compared for each byte, summed
-over words, and divided by length: over the whole text, and over the window of WINDOW words where
-the ratio is highest, since a long text may be toxic in a passage only. A logistic curve, fitted on
-labelled rows that the counts don't use, maps the two to a score.
-
-The counts come from every labelled row of the training part through one aggregation, so they grow
-with the labels. What goes to the workers are two tables of SLOTS floats, whatever the input.
-
-Edge cases: a null or empty text has the prior's score; without labels, or with labels of one class,
-every score is the share of toxic labels (0.5 without any); null labels are left out; a document with
-several labels counts with each; repeated rows are scored alike.
+Each class (toxic, ordinary) has two interpolated Kneser-Ney models: one over words, by the documents that hold them,
+and one of order ORDER over the bytes of words, for expressions that are new but spelt like known ones. The highest
+order counts each class by itself; the lower orders share continuation counts of both classes, so an expression that
+a class has rarely or never seen is smoothed by what is known of it at all, and cancels out of the comparison.
+
+The log-likelihoods are compared and normalised by length: over the window of WINDOW words where the ratio is highest,
+since a long text may be toxic in a passage only, and over the whole text for ratios that are strong evidence. A
+logistic curve, fitted on labelled rows that the counts don't use, maps them to a score.
+
+The counts come from every labelled row of the training part through one aggregation, so they grow with the labels.
+What goes to the workers are tables of SLOTS floats each, whatever the input.
+
+Edge cases: a text without words has no evidence and the score EMPTY, as has every text without evidence either way;
+without labels, or with labels of one class, every score is the share of toxic labels (0.5 without any); null labels
+are left out; a document with several labels counts with each; repeated rows are scored alike.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-ORDER, SLOTS, WINDOW, DISCOUNT = 5, 1 << 20, 12, 0.75
+ORDER, SLOTS, WINDOW, DISCOUNT, SHARE, FLOOR, STRONG, EMPTY = 5, 1 << 20, 2, 0.75, 0.1, 20, 4.0, 0.0
 #: Labelled rows, about, that fit the curve (of a fifth of the training part, by hash), and words a worker remembers.
 CURVE_ROWS, MEMO_WORDS = 20_000, 200_000
 
@@ -66,39 +68,61 @@ def _slot(packed: Column) -> Column:
     return packed.bitwiseXOR(F.shiftright(packed, 13)).bitwiseXOR(F.shiftright(packed, 21)).bitwiseAND(F.lit(SLOTS - 1))
 
 
-def count_grams(train: DataFrame) -> DataFrame:
-    """train(text, label 0/1) to (gram long, n0 long, n1 long), summed over all rows."""
-    schema = "gram long, n0 long, n1 long"
+def word_keys(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) >> 1 for w in words), np.int64, len(words))
+
+
+def count(train: DataFrame) -> DataFrame:
+    """train(text, label 0/1) to (kind, key, n0, n1) over all rows: kind 0, n-grams of bytes by occurrence; kind 1, words by document."""
 
     def run(batches):
         from collections import Counter
 
-        seen = (Counter(), Counter())
+        seen, held = (Counter(), Counter()), (Counter(), Counter())
+
+        def table(kind, keys, counts):
+            all_keys, back = np.unique(np.concatenate(keys), return_inverse=True)
+            split = len(keys[0])
+            sums = [np.bincount(back[:split], counts[0], len(all_keys)), np.bincount(back[split:], counts[1], len(all_keys))]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(all_keys), kind, np.int32)), pa.array(all_keys), *[pa.array(n.astype(np.int64)) for n in sums]], ["kind", "key", "n0", "n1"])
 
         def flush():
-            out: dict[int, list[int]] = {}
-            for c in (0, 1):
-                packed, sizes = grams(list(seen[c]))
-                weights = np.repeat(np.fromiter(seen[c].values(), np.int64, len(sizes)), sizes)
-                keys, back = np.unique(packed, return_inverse=True)
-                sums = np.bincount(back, weights, len(keys)).astype(np.int64)
-                for k, n in zip(keys.tolist(), sums.tolist()):
-                    out.setdefault(k, [0, 0])[c] += n
-                seen[c].clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([v[0] for v in out.values()], pa.int64()), pa.array([v[1] for v in out.values()], pa.int64())], ["gram", "n0", "n1"])
+            packed = [grams(list(c)) for c in seen]
+            yield table(0, [p for p, _ in packed], [np.repeat(np.fromiter(c.values(), np.int64, len(sizes)), sizes) for c, (_, sizes) in zip(seen, packed)])
+            yield table(1, [word_keys(list(c)) for c in held], [np.fromiter(c.values(), np.int64, len(c)) for c in held])
+            for c in (*seen, *held):
+                c.clear()
 
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[label].update(words_of(text))
+                words = words_of(text)
+                seen[label].update(words)
+                held[label].update(set(words))
                 if len(seen[0]) + len(seen[1]) > MEMO_WORDS:
-                    yield flush()
-        yield flush()
+                    yield from flush()
+        yield from flush()
+
+    rows = train.select("text", F.col("label").cast("int")).mapInArrow(run, "kind int, key long, n0 long, n1 long")
+    return rows.groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
-    return train.select("text", F.col("label").cast("int")).mapInArrow(run, schema).groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
+def _word_ratios(words: DataFrame) -> DataFrame:
+    """(kind, at, v, w) of the seen words; of any other the ratio is 0.
 
-def ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihood ratio by slot of the seen n-grams (NaN: none seen), and of any other gram by slot of its context."""
+    A word of one document only is no evidence (a discount of 1). Both classes give SHARE of their mass to the shared
+    backoff, the documents of both classes that hold the word and FLOOR more, so that a rare word tells little.
+    """
+    t = words.agg(*[F.coalesce(F.sum(F.greatest(F.col(f"n{c}") - 1, F.lit(0))), F.lit(0)).alias(f"all{c}") for c in (0, 1)], F.coalesce(F.sum(F.col("n0") + F.col("n1") + FLOOR), F.lit(1)).alias("all")).first()
+    shared = SHARE * (F.col("n0") + F.col("n1") + FLOOR) / float(t["all"])
+    likely = lambda c: (1 - SHARE) * F.greatest(F.col(f"n{c}") - 1, F.lit(0)) / float(max(t[f"all{c}"], 1)) + shared
+    at = F.col("key").bitwiseAND(F.lit(SLOTS - 1))
+    return words.select(F.lit(2).alias("kind"), at.alias("at"), F.log(likely(1) / likely(0)).alias("v"), (F.col("n0") + F.col("n1")).alias("w"))
+
+
+def ratios(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-likelihood ratios by slot: of n-grams (NaN: none seen), of any other n-gram by its context, and of words (0: none seen)."""
+    counts = counted.where("kind = 0").select(F.col("key").alias("gram"), "n0", "n1")
+    words = _word_ratios(counted.where("kind = 1"))
     d = DISCOUNT
     # Shared lower orders: how many different bytes precede a gram of k bytes, for k from ORDER - 1 down to 1.
     lower, seen = {}, counts.select(F.col("gram").alias("g"))
@@ -119,20 +143,20 @@ def ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     likely = lambda c: F.when(F.col(f"all{c}") > 0, F.greatest(F.col(f"n{c}") - d, F.lit(0.0)) / F.col(f"all{c}")).otherwise(F.lit(0.0)) + F.col(f"left{c}") * F.col("p")
     own = own.select(F.lit(1).alias("kind"), _slot(F.col("gram")).alias("at"), F.log(likely(1) / likely(0)).alias("v"), (F.col("n0") + F.col("n1")).alias("w"))
     rest = context.select(F.lit(0).alias("kind"), _slot(F.col("h")).alias("at"), F.log(F.col("left1") / F.col("left0")).alias("v"), (F.col("all0") + F.col("all1")).alias("w"))
-    folded = own.unionByName(rest).groupBy("kind", "at").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).cast("float").alias("v"))
-    found = folded.toArrow()  # 2 * SLOTS rows at most
-    out = (np.zeros(SLOTS, np.float32), np.full(SLOTS, np.nan, np.float32))
+    folded = own.unionByName(rest).unionByName(words).groupBy("kind", "at").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).cast("float").alias("v"))
+    found = folded.toArrow()  # 3 * SLOTS rows at most
+    out = (np.zeros(SLOTS, np.float32), np.full(SLOTS, np.nan, np.float32), np.zeros(SLOTS, np.float32))
     kind, at, v = (found.column(c).to_numpy() for c in ("kind", "at", "v"))
-    for k in (0, 1):
+    for k in (0, 1, 2):
         out[k][at[kind == k]] = v[kind == k]
-    return out[1], out[0]
+    return out[1], out[0], out[2]
 
 
 class Scorer:
-    """Two features of a text: highest mean ratio of a window, and mean ratio of the whole; with the logarithm of its words."""
+    """Features of a text: the highest mean ratio of a window by bytes and by words, the mean of the two highest ratios of words, and what ratios of words exceed STRONG by, in all, by the logarithm of the length."""
 
-    def __init__(self, seen: np.ndarray, context: np.ndarray):
-        self.seen, self.context, self.memo = seen, context, {}
+    def __init__(self, seen: np.ndarray, context: np.ndarray, words: np.ndarray):
+        self.seen, self.context, self.words, self.memo = seen, context, words, {}
 
     def learn(self, words: list[str]) -> None:
         packed, sizes = grams(words)
@@ -141,38 +165,46 @@ class Scorer:
         v = self.seen[slot(packed)]
         v = np.where(np.isnan(v), self.context[slot(packed >> 8)], v)
         sums = np.add.reduceat(v.astype(np.float64), np.cumsum(sizes) - sizes)
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        self.memo.update(zip(words, zip(sums.tolist(), sizes.tolist())))
+        own = self.words[word_keys(words) & (SLOTS - 1)].astype(np.float64)
+        self.memo.update(zip(words, zip(sums.tolist(), sizes.tolist(), own.tolist())))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         rows = [words_of(t) for t in texts]
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         self.learn(list({w for r in rows for w in r if w not in self.memo}))
-        out = np.zeros((len(rows), 3))
+        out = np.zeros((len(rows), 4))
         get = self.memo.__getitem__
         for i, r in enumerate(rows):
             if not r:
                 continue
-            both = np.array(list(map(get, r)))
-            sums = np.vstack([np.zeros(2), np.cumsum(both, 0)])
+            each = np.array(list(map(get, r)))
+            sums = np.vstack([np.zeros(3), np.cumsum(each, 0)])
             w = min(WINDOW, len(r))
             part = sums[w:] - sums[:-w]
-            out[i] = (part[:, 0] / part[:, 1]).max(), sums[-1, 0] / sums[-1, 1], np.log1p(len(r))
+            top = np.partition(each[:, 2], max(len(r) - 2, 0))[-2:]
+            out[i] = (part[:, 0] / part[:, 1]).max(), part[:, 2].max() / w, top.mean(), np.maximum(each[:, 2] - STRONG, 0).sum() / np.log2(2 + len(r))
         return out
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression with a small ridge: mean and scale of the features, weights with the intercept last."""
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic regression with a ridge, by Newton steps that are halved until the loss falls: mean and scale of the features, weights with the intercept last."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
-    for _ in range(50):
+    held = ridge * np.r_[np.ones(len(w) - 1), 1e-6]
+
+    def loss(w: np.ndarray) -> float:
+        t = z @ w
+        return float((np.logaddexp(0, t) - y * t).sum() + (held * w * w).sum() / 2)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        ridge = 0.05 * np.r_[np.ones(len(w) - 1), 0]
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-9), z.T @ (y - p) - ridge * w)
-        w += np.clip(step, -5, 5)
+        slope = z.T @ (y - p) - held * w
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(held + 1e-9), slope)
+        while np.abs(step).max() > 1e-9 and loss(w + step) > loss(w):
+            step /= 2
+        w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return mean, scale, w
@@ -186,7 +218,7 @@ def _features(df: DataFrame, tables, text_col: str) -> DataFrame:
 
         def work(columns):
             x = scorer.features(columns[0].to_pylist())
-            return [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * 3, pa.int32()), pa.array(x.ravel()))]
+            return [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * 4, pa.int32()), pa.array(x.ravel()))]
 
         return work
 
@@ -199,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     labels = labels.where("label in (0, 1)").select("key", "label").withColumn("__h", F.xxhash64(F.col("key").cast("string"), F.lit(5)))
     fifth = F.pmod("__h", F.lit(5)) == 0
     rest = labels.where(~fifth)
-    counts = common.stored(count_grams(docs.join(common.small(rest), "key")), "grams")
+    counts = common.stored(count(docs.join(common.small(rest), "key")), "counts")
     tables = spark.sparkContext.broadcast(ratios(counts))
     n = labels.where(fifth).count()
     share = F.pmod(F.xxhash64("__h"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, CURVE_ROWS / max(n, 1)))
@@ -221,4 +253,5 @@ def score(df: DataFrame, model: dict, text_col: str = "text", score_col: str = "
     z = F.lit(float(w[-1]))
     for i in range(len(mean)):
         z = z + F.lit(float(w[i])) * (F.col("__features")[i] - float(mean[i])) / float(scale[i])
-    return out.withColumn(score_col, 1 / (1 + F.exp(-z))).drop("__features")
+    none = F.forall("__features", lambda x: x == 0)
+    return out.withColumn(score_col, F.when(none, F.lit(EMPTY)).otherwise(1 / (1 + F.exp(-z)))).drop("__features")
