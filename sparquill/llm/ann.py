@@ -90,7 +90,8 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
             rows = rows[ids[rows] != own]
             cosine = (x[rows] * q[i]).sum(1) / (norms[rows] * q_norms[i])
             best_ids, best = np.concatenate([best_ids, ids[rows]]), np.concatenate([best, cosine])
-            keep = np.lexsort((best_ids, -best))[:k]
+            keep = np.lexsort((best_ids, -best))
+            keep = keep[np.sort(np.unique(best_ids[keep], return_index=True)[1])][:k]  # an id once
             best_ids, best = best_ids[keep], best[keep]
         out[0].extend([own] * len(best))
         out[1].extend(best_ids.tolist())

@@ -17,6 +17,7 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -138,7 +139,7 @@ def _decoder(ranks: dict[bytes, int]):
             raise ValueError(f"an id is not in the vocabulary: {e}") from e
         if pieces.null_count:
             raise ValueError("an id is null or not in the vocabulary")
-        lengths = np.fromiter((len(x) if x is not None else 0 for x in ids), np.int64, len(ids)) if ids.null_count else np.diff(np.asarray(ids.offsets))
+        lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
         marks = np.concatenate([[0], np.cumsum(lengths)])
         offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset :][marks] if len(flat) else np.zeros(len(marks), np.int32)
         body = pieces.buffers()[2] or pa.py_buffer(b"")

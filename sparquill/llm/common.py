@@ -24,6 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 SLICE_ROWS = 256
 
 _written: list[str] = []
+_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +35,8 @@ def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables; a temporary one only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="sparquill-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="sparquill-")
+        _own[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
