@@ -41,3 +41,21 @@ def multimodal_prompt(question: Column, texts: Column, tables: Column, images: C
     part = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(title + ":\n"), F.array_join(c, "\n\n")))
     body = F.concat_ws("\n\n" + "=" * 50 + "\n\n", part("TEXT EXCERPTS", texts), part("TABLES", tables), part("FIGURES", images))
     return F.when(body == "", F.concat(F.lit("Question: "), question, F.lit("\n\nNo relevant context was found."))).otherwise(F.concat(F.lit("CONTEXT:\n"), body, F.lit("\n\nQuestion: "), question, F.lit("\n\nAnswer:")))
+
+
+def as_json(lists: DataFrame, columns: list[str]) -> DataFrame:
+    """query_id and its ranked rows as one JSON array."""
+    rows = F.array_sort(F.collect_list(F.struct("rank", F.struct(*columns).alias("row"))))
+    return lists.groupBy("query_id").agg(F.to_json(F.transform(rows, lambda r: r["row"])).alias("result"))
+
+
+def parsed(body: Column, schema: str) -> Column:
+    """struct<value, failed>: a model's JSON answer; what doesn't parse, or is missing, has failed."""
+    value = F.from_json(body, schema + ", __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    failed = body.isNull() | value["__bad"].isNotNull()
+    return F.struct(F.when(~failed, value).alias("value"), failed.alias("failed"))
+
+
+def first_existing(*paths: Column) -> Column:
+    """The first path that is there, of a fixed order of names."""
+    return F.coalesce(*[F.when(p != "", p) for p in paths])

@@ -14,12 +14,16 @@ def _line(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda c: F.trim(F.coalesce(c, F.lit("")))), " | "), F.lit(" |"))
 
 
+def _after_first(rows: Column) -> Column:
+    return F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
+
+
 def markdown(page: Column, table_id: Column, caption: Column, rows: Column, has_headers: bool = True) -> Column:
     """Text form: a title, the caption if any, the header row as it is, data rows padded to the widest row."""
     width = F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0))
     padded = lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))
     head = F.get(rows, F.lit(0))
-    body = F.transform(F.slice(rows, 2, 1_000_000) if has_headers else rows, lambda r: _line(padded(r)))
+    body = F.transform(_after_first(rows) if has_headers else rows, lambda r: _line(padded(r)))
     lines = [
         F.array(F.concat(F.lit("[TABLE] Page "), page.cast("string"), F.lit(", "), table_id)),
         F.when(F.coalesce(caption, F.lit("")) != "", F.array(F.concat(F.lit("Caption: "), caption))).otherwise(F.array().cast("array<string>")),
@@ -37,7 +41,7 @@ def structured(rows: Column) -> Column:
     """
     head = F.coalesce(F.get(rows, F.lit(0)), F.array().cast("array<string>"))
     names = F.transform(head, lambda h, i: F.when(F.trim(F.coalesce(h, F.lit(""))) == "", F.concat(F.lit("col_"), i.cast("string"))).otherwise(F.trim(h)))
-    body = F.slice(rows, 2, 1_000_000)
+    body = _after_first(rows)
 
     def as_map(row: Column, value) -> Column:
         n = F.least(F.size(row), F.size(names))

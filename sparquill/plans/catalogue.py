@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text as tx, vectors as vx
 from ..operators import bm25, cache, chunking, compare, dense, evaluate, filters, fusion, multihop, multimodal, pages, prompts, rerank, tables, visual
-from ..operators.ranking import ranked, top
+from ..operators.ranking import few, top
 from ..streaming import traffic
 from . import config as cf
 from .retriever import Retriever
@@ -345,6 +345,21 @@ def answer_prompts(spark, d):
     return rows.select("query_id", prompts.answer_prompt(F.col("text"), F.col("contexts")).alias("prompt"))
 
 
+@query(f"WITH {sql_bm25()} SELECT query_id, '[' || string_agg('{{\"rank\":' || rank || ',\"doc_id\":' || doc_id || '}}', ',' ORDER BY rank) || ']' AS result FROM bm WHERE rank <= 5 GROUP BY query_id")
+def results_as_json(spark, d):
+    return prompts.as_json(bm25.search(index(spark, d), questions(spark, d), 5), ["rank", "doc_id"])
+
+
+_ANSWERS = [(1, '{"answer": "yes", "pages": [4, 8]}'), (2, "not json"), (3, None), (4, '{"answer": "no"}')]
+
+
+@query(f"SELECT id::bigint AS id, CASE id WHEN 1 THEN 'yes' WHEN 4 THEN 'no' END AS answer, CASE id WHEN 1 THEN '4,8' END AS pages, id IN (2, 3) AS failed FROM {values(_ANSWERS, 'id, body')}")
+def parsed_answers(spark, d):
+    rows = spark.createDataFrame(_ANSWERS, "id bigint, body string")
+    a = prompts.parsed(F.col("body"), "answer string, pages array<bigint>")
+    return rows.select("id", a["value"]["answer"].alias("answer"), F.array_join(a["value"]["pages"], ",").alias("pages"), a["failed"].alias("failed"))
+
+
 # ---------------------------------------------------------------- pages and chunks
 
 _REPORT = [("report", 1, "EXECUTIVE SUMMARY\nWe grew."), ("report", 2, "plain prose"), ("report", 3, "Notes to the financial statements\nNote 1"), ("report", 4, "Figure 2: Income by year, 1,200 and 35%"), ("report", 5, "Liquidity Risk\nFY 2024, 12/31/2024"), ("report", 6, "a, b, c\n1, 2, 3\n4, 5, 6\n7, 8, 9"), ("report", 7, ""), ("report", 8, "Table 3: Loans outstanding\nx  y  z\n1  2  3"), ("report", 9, "Auditor's report"), ("report", 10, "Exhibit 1. Trend chart")]
@@ -691,7 +706,7 @@ def eval_hit_at_k(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     words = docs.select("doc_id", "text", F.split("text", r"\s+").alias("w"))
     pairs = words.select("doc_id", F.explode(F.array_distinct(F.filter("w", lambda x: x != ""))).alias("second"))
-    near = pairs.join(F.broadcast(items.select("query_id", "second")), "second").select("query_id", "doc_id").distinct()
+    near = pairs.join(few(items.select("query_id", "second")), "second").select("query_id", "doc_id").distinct()
     truth = near.join(items, "query_id").join(docs, "doc_id").where(F.contains("text", "passage")).select("query_id", "doc_id")
     return evaluate.hits(lists, truth, [3, 5, 8])
 

@@ -236,3 +236,9 @@ def test_evaluation(spark):
     empty = F.array().cast("array<string>")
     m = spark.range(1).select(evaluate.metrics(F.lit("red apple"), F.lit("apple"), empty, F.lit("x y")).alias("m")).first().m
     assert (m.context_precision, m.context_recall, m.answer_relevance) == (0, 0, 0.5)
+
+
+def test_parsed_json_and_paths(spark):
+    row = spark.createDataFrame([('{"a": 1}',), ("x",), (None,)], "b string").select(prompts.parsed(F.col("b"), "a int").alias("p")).collect()
+    assert [(r.p.value.a if r.p.value else None, r.p.failed) for r in row] == [(1, False), (None, True), (None, True)]
+    assert spark.range(1).select(prompts.first_existing(F.lit(None).cast("string"), F.lit(""), F.lit("x.png"))).first()[0] == "x.png"
