@@ -246,7 +246,7 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, most_keys: int = hashing
     keys = common.stored(repeated_keys(source, size), "keys")
     runs = common.stored(repeated_runs(source, keys, size, most_keys), "runs")
     least = common.stored(runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("x"), F.first("key").alias("key")), "least")
-    several = least.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key")
+    several = common.stored(least.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key"), "several")
     sources = common.stored(least.join(several, "key", "left_semi").select("h1", "h2", "x"), "sources")
     windows = common.stored(single_windows(source, runs, sources, size, most_keys), "windows")
     equal = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("h1", "h2", "x")
@@ -261,7 +261,7 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, most_keys: int = hashing
 
     out = common.append_arrow(marked, ["starts", "ends"], make, [T.StructField("spans", T.ArrayType(T.IntegerType()))])
     out = common.stored(out.select("doc_id", "row", "spans"), "spans")
-    common.discard(keys, runs, least, sources, windows, equal, later)
+    common.discard(keys, runs, least, several, sources, windows, equal, later)
     return out
 
 
