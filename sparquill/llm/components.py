@@ -14,18 +14,25 @@ from . import common
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """links (a > b). Large: greater neighbours move to the least one; small: the others do."""
+    """Stored links (a > b). Large: greater neighbours move to the least one; small: the others do.
+
+    The least neighbours are a table of their own, so that both sides of the join are plain shuffles and Spark can split
+    the node that a third of all links may share.
+    """
     if large:
         near = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         near = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    least = common.stored(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
     joined = near.join(least, "u")
     moved = joined.where("v > u") if large else joined
     moved = moved.select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not large:
         moved = moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    moved = moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    moved = common.stored(moved, "stars")
+    common.discard(least)
+    return moved
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -33,7 +40,10 @@ def components(links: DataFrame) -> DataFrame:
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links, before = common.stored(links, "links"), None
     while True:
-        links = common.stored(_star(_star(links, True), False), "stars")
+        half = _star(links, True)
+        whole = _star(half, False)
+        common.discard(links, half)
+        links = whole
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
