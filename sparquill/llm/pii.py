@@ -3,15 +3,20 @@
 DataFrame functions only, no Python on the executors.
 
 Base spans are the e-mail addresses, IP addresses, card and phone numbers of a text. Each such value is a protected
-entity. A term (a run of MIN_LETTERS letters or more, in lower case) that stands within NEAR words of an entity in
-SUPPORT different surroundings or more is a candidate; its occurrences in the whole corpus then tell how much of the
-entity's information it gives away:
+entity. All terms (runs of MIN_LETTERS letters or more, in lower case) of an entity's documents are its candidates,
+wherever they stand. How much of the entity's information a term gives away follows from the whole corpus:
 
     disclosure = log2(N * n(term, entity) / (n(term) * n(entity))) / log2(N / n(entity))
 
 with counts of documents. It is 1 for a term that stands in the entity's documents only. From GENERALISE on, the term's
 occurrences become spans, in all documents, and are replaced by a neutral word; from REMOVE on they are taken out.
 
+A rare term reaches a high disclosure by chance, so it has to be significant too: were the term dealt over the corpus
+at random, the chance (Chernoff's bound of the binomial tail) of as many meetings, times the number of pairs tested,
+must not exceed CHANCE. Copies of a document tell the same thing once: documents with an entity that agree in a band of
+MinHash values of their rows of three terms count as one here. An entity of one such group has no significant term (all
+words that are met nowhere else would be), so its terms are not tested.
+
 The patterns below are the base patterns with look-arounds that change no match: they spare the search from starting
 inside a run of letters or digits again and again, and Java's matcher from a recursion for each digit of a long row.
 
@@ -27,9 +32,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-NEAR, SUPPORT, MIN_LETTERS, GENERALISE, REMOVE = 5, 3, 4, 0.7, 0.9
-#: Characters around an entity among which the nearest words are looked for.
-AROUND = 120
+MIN_LETTERS, GENERALISE, REMOVE, CHANCE = 4, 0.7, 0.9, 0.05
+#: Copies agree in all MinHash values of one of the bands.
+BANDS, BAND_VALUES = 8, 2
 
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 KINDS = ("email", "ip", "card", "phone")
@@ -99,30 +104,54 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _WORDS, -1), lambda w: F.length(w) >= MIN_LETTERS)
 
 
+def _bands(terms: Column) -> Column:
+    """A hash for each of BANDS: of BAND_VALUES MinHash values of the rows of three terms."""
+    begins = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(terms) - 2))
+    rows = F.array_distinct(F.transform(begins, lambda i: F.xxhash64(F.slice(terms, i, F.lit(3)))))
+    least = lambda k: F.array_min(F.transform(rows, lambda x: F.xxhash64(x, F.lit(k))))
+    return F.array(*[F.xxhash64(F.lit(b), *[least(b * BAND_VALUES + i) for i in range(BAND_VALUES)]) for b in range(BANDS)])
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    """docs(row, terms) to (row, group): copies share a group."""
+    bands = common.stored(docs.select("row", F.explode(_bands(F.col("terms"))).alias("band")), "bands")
+    firsts = bands.groupBy("band").agg(F.min("row").alias("first"))
+    return bands.join(common.small(common.stored(firsts, "firsts")), "band").groupBy("row").agg(F.min("first").alias("group"))
+
+
 def disclosing_terms(docs: DataFrame) -> DataFrame:
-    """docs(row, text, spans) to (term, disclosure): the highest disclosure of each term that reaches GENERALISE."""
+    """docs(row, text, spans) to (term, disclosure): the highest disclosure of each significant term that reaches GENERALISE."""
     spans = docs.where(F.size("spans") > 0).select("row", "text", F.explode("spans").alias("s"))
     value = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    first = F.greatest(F.lit(0), F.col("s.start") - AROUND)
-    before = _terms(F.substring(F.col("text"), first + 1, F.col("s.start") - first))
-    after = _terms(F.substring(F.col("text"), F.col("s.end") + 1, F.lit(AROUND)))
-    near = F.concat(F.slice(before, F.greatest(F.lit(1), F.size(before) - NEAR + 1), F.lit(NEAR)), F.slice(after, F.lit(1), F.lit(NEAR)))
-    entities = common.stored(spans.select("row", value.alias("entity"), near.alias("near"), F.xxhash64("near").alias("surroundings")), "entities")
-    pairs = entities.select("row", "entity", "surroundings", F.explode(F.array_distinct("near")).alias("term"))
-    # Different rows and surroundings by two steps of plain counts, so that a frequent pair is summed where it is read.
-    met = pairs.groupBy("entity", "term", "row").agg(F.count(F.lit(1)).alias("x")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    kinds = pairs.groupBy("entity", "term", "surroundings").agg(F.count(F.lit(1)).alias("x")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support"))
-    candidates = common.stored(kinds.where(F.col("support") >= SUPPORT).join(met, ["entity", "term"]), "candidates")
+    # Different rows by steps of plain counts, so that a frequent pair is summed where it is read.
+    entities = common.stored(spans.select("row", value.alias("entity")).groupBy("entity", "row").agg(F.count(F.lit(1)).alias("x")), "entities")
+    n_entity = common.stored(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where("n_entity > 1"), "met")
+    held = common.stored(entities.select("entity", "row").join(common.small(n_entity), "entity"), "held")
+    rows = common.small(held.select("row").distinct())
+    near = common.stored(docs.select("row", "text").join(rows, "row").select("row", _terms(F.col("text")).alias("terms")), "near")
+    held = common.stored(held.join(common.small(common.stored(_groups(near), "groups")), "row"), "grouped")
+    n_groups = held.groupBy("entity", "group").agg(F.count(F.lit(1)).alias("x")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_groups")).where("n_groups > 1")
+    held = common.stored(held.join(common.small(common.stored(n_groups, "several")), "entity"), "several-held")
+    pairs = near.select("row", F.explode(F.array_distinct("terms")).alias("term")).join(common.small(held), "row")
+    known = ["entity", "term", "n_entity", "n_groups"]
+    met = pairs.groupBy(*known, "group", "row").agg(F.count(F.lit(1)).alias("x")).groupBy(*known, "group").agg(F.count(F.lit(1)).alias("rows"))
+    met = common.stored(met.groupBy(*known).agg(F.sum("rows").alias("both"), F.count(F.lit(1)).alias("both_groups")), "pairs")
+    tested = met.count()
+    # One meeting tells nothing, whatever the number of tests.
+    candidates = common.stored(met.where("both_groups > 1"), "candidates")
     words = docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     known = common.small(candidates.select("term").distinct())
     # An inner join: Spark would push a semi join below the counts and join each word of the corpus.
     n_term = common.stored(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(known, "term"), "terms")
-    n_entity = entities.groupBy("entity", "row").agg(F.count(F.lit(1)).alias("x")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     n = docs.count()
-    scored = candidates.join(n_term, "term").join(n_entity, "entity")
+    scored = candidates.join(n_term, "term")
     told = F.log2(F.lit(float(n)) * F.col("both") / (F.col("n_term") * F.col("n_entity")))
     scored = scored.withColumn("disclosure", F.try_divide(told, F.log2(F.lit(float(n)) / F.col("n_entity"))))
-    return common.stored(scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= GENERALISE), "disclosing")
+    share, usual = F.col("both_groups") / F.col("n_groups"), F.col("n_term") / F.lit(float(max(n, 1)))
+    other = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - usual))).otherwise(0.0)
+    chance = F.log(F.lit(float(max(tested, 1)))) - F.col("n_groups") * (share * F.log(share / usual) + other)
+    significant = (usual < share) & (chance <= F.log(F.lit(CHANCE)))
+    return common.stored(scored.where(significant).groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= GENERALISE), "disclosing")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -53,6 +54,20 @@ def test_terms_that_reveal_an_entity(spark, documents):
     assert clean[0] == "alpha [TERM] wrote [EMAIL] alpha again" and clean[24] == "[TERM] was here" and clean[4] == other[0]
 
 
+def _prose(seed, words=40):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(["river", "stone", "garden", "window", "paper", "yellow", "morning", "letter"]) for _ in range(words))
+
+
+def test_terms_of_two_documents_and_far_from_the_entity(spark, documents):
+    far = [f"zebulon {_prose(1)} joe@x.org", f"{_prose(2)} joe@x.org {_prose(3)} zebulon"]
+    copy = f"quillon {_prose(4)} {_prose(5)} ann@x.org"
+    docs = documents(far + [copy, copy + " more"] + [_prose(i) for i in range(10, 110)] + [f"lonesome {_prose(6)} bob@x.org"])
+    rows = {r.doc_id: [s.kind for s in r.spans] for r in pii.find(docs).collect()}
+    assert rows[0] == ["removed", "email"] and rows[1] == ["email", "removed"]
+    assert rows[2] == rows[3] == ["email"] and rows[104] == ["email"] and not rows[10]
+
+
 def test_sanitise_overlaps(spark):
     df = spark.createDataFrame([("abcdef", [("email", 1, 4), ("ip", 2, 5)]), (None, []), ("x", [])], "text string, spans array<struct<kind:string,start:int,end:int>>")
     assert [r.text for r in pii.sanitise(df).collect()] == ["a[EMAIL]f", None, "x"]
