@@ -7,15 +7,14 @@ neighbours are those of the longest common prefix.
 1. Documents of equal shingle sets fall into one class, however many they are; a class is one row below.
 2. Of the neighbours that a row has in all orders, the one met most often is verified on full sets.
    The links so found make components.
-3. What is left are pairs of one region but different components. A region's depth adapts to its number of
-   rows (SIZES): the denser it is, the longer the prefix that a pair has to share in one of the orders.
-   Pairs of sparse regions are verified one by one. Rows of dense regions are compared block by block in tasks
+3. What is left are pairs of one region but different components, in regions of any size. Pairs of sparse regions
+   (SIZES[0] rows at most) are verified one by one. Rows of dense regions are compared block by block in tasks
    that return only the links that join components, so thousands of near copies don't give their square of pairs.
    No pair is dropped for being one of many; in a block, a pair is compared in full unless its signatures agree
    in 4.5 standard deviations less than the threshold.
 
-A pair at the threshold 0.85 is missed by all orders with a probability of 4e-7 in a sparse region, and of
-8e-5 or 2e-3 in a dense one, where other members of the component link it as a rule.
+A pair at the threshold t shares no region with a probability of (1 - t^4)^20, whatever the regions' sizes: 4e-7 at
+0.85, 2.7e-5 at 0.8. Longer prefixes order the rows of a region only.
 
 Edge cases: a null, empty or blank text has no shingles and is linked with nothing; a text of fewer words
 than a shingle has one, its whole row of words; a component's id is its smallest doc_id; repeated rows and
@@ -35,7 +34,8 @@ from pyspark.sql import types as T
 from . import common
 from .components import components
 
-SHINGLE, TREES, DEPTHS, SIZES = 5, 20, (4, 6, 8), (32, 256)
+#: SIZES: the most rows of a sparse region.
+SHINGLE, TREES, DEPTHS, SIZES = 5, 20, (4, 6, 8), (32,)
 #: Rows of a block of a dense region.
 BLOCK_ROWS = 512
 
@@ -220,9 +220,8 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     links = common.stored(verified(best, docs, named, size, percent), "verified")
     roots = components(links)
 
-    # Regions that still hold several components, each at the depth that fits its number of rows.
-    depth = F.when(F.col("rows") <= SIZES[0], F.col("k0")).when(F.col("rows") <= SIZES[1], F.col("k1")).otherwise(F.col("k2"))
-    members = near.select("node", depth.alias("region"), (F.col("rows") > SIZES[0]).alias("dense")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Regions that still hold several components.
+    members = near.select("node", F.col("k0").alias("region"), (F.col("rows") > SIZES[0]).alias("dense")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members = common.stored(members, "members")
     open_ = members.groupBy("region").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("region", "size")
     members = common.stored(members.join(open_, "region"), "open")

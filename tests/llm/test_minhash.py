@@ -63,6 +63,19 @@ def test_dense_regions_and_blocks(spark, documents, monkeypatch):
     assert _rows(minhash.group(documents(texts), percent=85)) == brute(texts, 85)
 
 
+def test_dense_regions_miss_no_more_than_sparse_ones(spark, documents):
+    """A star: copies at the threshold to their base, but far from one another."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(304)]
+    texts = [" ".join(base)]
+    for c in range(300):
+        own = list(base)
+        for i in rng.sample(range(12, 292, 5), 6):
+            own[i] = f"c{c}x{i}"
+        texts.append(" ".join(own))
+    assert _rows(minhash.group(documents(texts), percent=80)) == brute(texts, 80)
+
+
 def test_repeated_and_null_ids(spark, documents):
     out = minhash.group(documents(["a b c d e f"] * 3 + ["other words"], [5, 5, None, 9]))
     assert sorted((r.doc_id or -1, r.component_id, r.kept) for r in out.collect()) == [(-1, 5, False), (5, 5, True), (5, 5, True), (9, 9, True)]
