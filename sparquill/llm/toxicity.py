@@ -10,7 +10,9 @@ since a long text may be toxic in a passage only, and over the whole text for ra
 logistic curve, fitted on labelled rows that the counts don't use, maps them to a score.
 
 The counts come from every labelled row of the training part through one aggregation, so they grow with the labels.
-What goes to the workers are tables of SLOTS floats each, whatever the input.
+The ratios go to the workers by key: no two words or n-grams share one, and an unseen word has the ratio 0. Ratios that
+are 0 anyhow (as those of words of one document only) are left out. So these tables grow with the vocabulary of the
+labelled rows, on the driver and on each worker.
 
 Edge cases: a text without words has no evidence and the score EMPTY, as has every text without evidence either way;
 without labels, or with labels of one class, every score is the share of toxic labels (0.5 without any); null labels
@@ -107,7 +109,7 @@ def count(train: DataFrame) -> DataFrame:
 
 
 def _word_ratios(words: DataFrame) -> DataFrame:
-    """(kind, at, v, w) of the seen words; of any other the ratio is 0.
+    """(kind, key, v) of the seen words; of any other the ratio is 0.
 
     A word of one document only is no evidence (a discount of 1). Both classes give SHARE of their mass to the shared
     backoff, the documents of both classes that hold the word and FLOOR more, so that a rare word tells little.
@@ -115,12 +117,14 @@ def _word_ratios(words: DataFrame) -> DataFrame:
     t = words.agg(*[F.coalesce(F.sum(F.greatest(F.col(f"n{c}") - 1, F.lit(0))), F.lit(0)).alias(f"all{c}") for c in (0, 1)], F.coalesce(F.sum(F.col("n0") + F.col("n1") + FLOOR), F.lit(1)).alias("all")).first()
     shared = SHARE * (F.col("n0") + F.col("n1") + FLOOR) / float(t["all"])
     likely = lambda c: (1 - SHARE) * F.greatest(F.col(f"n{c}") - 1, F.lit(0)) / float(max(t[f"all{c}"], 1)) + shared
-    at = F.col("key").bitwiseAND(F.lit(SLOTS - 1))
-    return words.select(F.lit(2).alias("kind"), at.alias("at"), F.log(likely(1) / likely(0)).alias("v"), (F.col("n0") + F.col("n1")).alias("w"))
+    return words.select(F.lit(2).alias("kind"), "key", F.log(likely(1) / likely(0)).alias("v"))
 
 
-def ratios(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log-likelihood ratios by slot: of n-grams (NaN: none seen), of any other n-gram by its context, and of words (0: none seen)."""
+Table = tuple[np.ndarray, np.ndarray]
+
+
+def ratios(counted: DataFrame) -> tuple[Table, Table, Table]:
+    """Log-likelihood ratios as sorted keys and their values: of n-grams, of any other n-gram by its context, and of words."""
     counts = counted.where("kind = 0").select(F.col("key").alias("gram"), "n0", "n1")
     words = _word_ratios(counted.where("kind = 1"))
     d = DISCOUNT
@@ -141,31 +145,42 @@ def ratios(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     context = context.withColumns({"left0": left(0), "left1": left(1)})
     own = counts.withColumn("h", F.shiftright("gram", 8)).join(context, "h").withColumn("g", F.col("gram").bitwiseAND(F.lit((1 << _LOWER) - 1))).join(p, "g")
     likely = lambda c: F.when(F.col(f"all{c}") > 0, F.greatest(F.col(f"n{c}") - d, F.lit(0.0)) / F.col(f"all{c}")).otherwise(F.lit(0.0)) + F.col(f"left{c}") * F.col("p")
-    own = own.select(F.lit(1).alias("kind"), _slot(F.col("gram")).alias("at"), F.log(likely(1) / likely(0)).alias("v"), (F.col("n0") + F.col("n1")).alias("w"))
-    rest = context.select(F.lit(0).alias("kind"), _slot(F.col("h")).alias("at"), F.log(F.col("left1") / F.col("left0")).alias("v"), (F.col("all0") + F.col("all1")).alias("w"))
-    folded = own.unionByName(rest).unionByName(words).groupBy("kind", "at").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).cast("float").alias("v"))
-    found = folded.toArrow()  # 3 * SLOTS rows at most
-    out = (np.zeros(SLOTS, np.float32), np.full(SLOTS, np.nan, np.float32), np.zeros(SLOTS, np.float32))
-    kind, at, v = (found.column(c).to_numpy() for c in ("kind", "at", "v"))
-    for k in (0, 1, 2):
-        out[k][at[kind == k]] = v[kind == k]
-    return out[1], out[0], out[2]
+    own = own.select(F.lit(1).alias("kind"), F.col("gram").alias("key"), F.log(likely(1) / likely(0)).alias("v"))
+    rest = context.select(F.lit(0).alias("kind"), F.col("h").alias("key"), F.log(F.col("left1") / F.col("left0")).alias("v"))
+    rows = own.unionByName(rest.unionByName(words).where("v <> 0")).select("kind", "key", F.col("v").cast("float").alias("v"))
+    found = rows.toArrow()  # a row for each n-gram, context and word that has evidence
+    kind, key, v = (found.column(c).to_numpy() for c in ("kind", "key", "v"))
+    out = []
+    for k in (1, 0, 2):
+        order = np.argsort(key[kind == k])
+        out.append((key[kind == k][order], v[kind == k][order]))
+    return out[0], out[1], out[2]
+
+
+def look_up(table: Table, keys: np.ndarray, other: float) -> np.ndarray:
+    """The values of keys, ``other`` for those that the table lacks."""
+    known, values = table
+    if not len(known):
+        return np.full(len(keys), other)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, values[at], other).astype(np.float64)
 
 
 class Scorer:
     """Features of a text: the highest mean ratio of a window by bytes and by words, the mean of the two highest ratios of words, and what ratios of words exceed STRONG by, in all, by the logarithm of the length."""
 
-    def __init__(self, seen: np.ndarray, context: np.ndarray, words: np.ndarray):
+    def __init__(self, seen: Table, context: Table, words: Table):
         self.seen, self.context, self.words, self.memo = seen, context, words, {}
 
     def learn(self, words: list[str]) -> None:
         packed, sizes = grams(words)
         if not len(sizes):
             return
-        v = self.seen[slot(packed)]
-        v = np.where(np.isnan(v), self.context[slot(packed >> 8)], v)
-        sums = np.add.reduceat(v.astype(np.float64), np.cumsum(sizes) - sizes)
-        own = self.words[word_keys(words) & (SLOTS - 1)].astype(np.float64)
+        known, back = np.unique(packed, return_inverse=True)
+        v = look_up(self.seen, known, np.nan)
+        v = np.where(np.isnan(v), look_up(self.context, known >> 8, 0.0), v)[back]
+        sums = np.add.reduceat(v, np.cumsum(sizes) - sizes)
+        own = look_up(self.words, word_keys(words), 0.0)
         self.memo.update(zip(words, zip(sums.tolist(), sizes.tolist(), own.tolist())))
 
     def features(self, texts: list[str | None]) -> np.ndarray:

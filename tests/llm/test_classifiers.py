@@ -62,3 +62,14 @@ def test_slots_agree_with_sql(spark):
     x = [0, 7, 2**39 + 12345, 2**40 - 1]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "g long").select(toxicity._slot(F.col("g"))).collect()]
     assert got == toxicity.slot(np.array(x, np.int64)).tolist()
+
+
+def test_words_of_one_slot_share_no_ratio(spark):
+    """Two seen words whose keys agree in their low bits, one of a single document, and an unseen one."""
+    import numpy as np
+
+    keys = [5 + (i << 20) for i in range(4)]
+    rows = [(1, keys[0], 0, 50), (1, keys[1], 50, 0), (1, keys[2], 1, 0), (0, 0x6162636465, 9, 1)]
+    tables = toxicity.ratios(spark.createDataFrame(rows, "kind int, key long, n0 long, n1 long"))
+    toxic, clean, once, unseen = toxicity.look_up(tables[2], np.array(keys), 0.0)
+    assert toxic > 0.5 and clean < -0.5 and once == unseen == 0
