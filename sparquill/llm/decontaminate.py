@@ -11,7 +11,8 @@ Documents only pass on the hashes that a filter of the benchmark's hashes has; t
 others through, which the join removes.
 
 Edge cases: null, empty and wordless texts and items overlap with nothing; rows that repeat an id are judged each by its
-own words; repeated items are all named; an empty benchmark leaves all clean; null ids are kept.
+own words; repeated items are all named; an empty benchmark leaves all clean; null ids are kept; an
+item with a null id contaminates like any other, but isn't named or counted among the items.
 """
 
 from __future__ import annotations
@@ -131,7 +132,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     lies = common.stored(lies, "lies")
     places = common.stored(lies.groupBy("id", "row").agg(F.collect_list(F.struct("item", "at")).alias("lies")), "places")
     texts = items.groupBy("item").agg(F.collect_list("item_text").alias("item_texts"))
-    wanted = common.stored(places.select("row", F.explode("lies").alias("lie")).select("row", "lie.item", "lie.at").join(common.small(texts, 10_000), "item"), "wanted")
+    laid = places.select("row", F.explode("lies").alias("lie")).select("row", "lie.item", "lie.at")
+    texts = common.small(texts.withColumnRenamed("item", "own"), 10_000)
+    wanted = common.stored(laid.join(texts, F.col("item").eqNullSafe(F.col("own"))).drop("own"), "wanted")
     rows = source.select("id", "row", "text").join(common.small(places.select("row").distinct()), "row", "left_semi").dropDuplicates(["row"])
     both = rows.join(wanted, "row")
     run = T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])

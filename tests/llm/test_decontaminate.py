@@ -55,3 +55,11 @@ def test_empty_and_repeated(spark, documents, ids):
     assert sorted(r.contaminated for r in dc.judge(docs, dc.find(docs, bench)).collect()) == [False, True, True]
     assert not any(r.contaminated for r in dc.judge(docs, dc.find(docs, bench.limit(0))).collect())
     assert dc.judge(docs.limit(0), dc.find(docs.limit(0), bench)).count() == 0
+
+
+def test_items_with_null_ids_contaminate(spark, documents):
+    texts = [" ".join(f"{c}{i}" for i in range(20)) for c in "abc"]
+    bench = spark.createDataFrame([(None, texts[0]), (None, texts[1])], "item_id long, text string")
+    docs = documents([f"see {t} end" for t in texts])
+    rows = dc.judge(docs, dc.find(docs, bench)).orderBy("doc_id").collect()
+    assert [(r.contaminated, r.n_items, r.n_overlap) for r in rows] == [(True, 0, 20), (True, 0, 20), (False, 0, 0)]
