@@ -1,7 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class (toxic, ordinary) has two interpolated Kneser-Ney models: one over words, by the documents that hold them,
-and one of order ORDER over the bytes of words, for expressions that are new but spelt like known ones. The highest
+Each class (toxic, ordinary) has an interpolated Kneser-Ney model of order ORDER over the bytes of words, for expressions
+that are new but spelt like known ones, and a smoothed unigram model of words by the documents that hold them, without
+context: expressions of several words that are ordinary by themselves have no evidence. In the model of bytes the highest
 order counts each class by itself; the lower orders share continuation counts of both classes, so an expression that
 a class has rarely or never seen is smoothed by what is known of it at all, and cancels out of the comparison.
 
