@@ -10,6 +10,7 @@ Rules that all operators follow:
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,6 +23,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows that a Python worker turns into objects at a time.
 SLICE_ROWS = 256
+#: A table is broadcast only if it is stored and has no more rows and no more bytes on disk.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 _written: list[str] = []
 _own: dict[str, str] = {}
@@ -32,9 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a temporary one only where the session names none."""
+    """The shared folder for intermediate tables; a temporary one only where the session names none and runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="sparquill-")
         _own[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
@@ -51,7 +56,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(release, spark)
     _written.append(path)
-    spark.sparkContext._jvm.System.gc()  # Spark drops shuffle files once the driver collects the plans that made them
+    # Spark has no call that drops the shuffle files of a finished write: its cleaner waits for the driver to collect the plan.
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -82,12 +88,17 @@ def without(df: DataFrame, names: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """df with the hint to broadcast it if a count shows no more than ``rows``; else df, to be joined by a shuffle.
+def bytes_of(df: DataFrame) -> int:
+    """Bytes on disk of a stored table."""
+    jvm = df.sparkSession.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    return found.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(found).getLength()
 
-    For narrow rows only (ids, labels, hashes).
-    """
-    return F.broadcast(df) if df.count() <= rows else df
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, stored, with the hint to broadcast it if it has no more than ``rows`` and BROADCAST_BYTES; else without, to be joined by a shuffle."""
+    df = df if hasattr(df, "_stored_at") else stored(df, "small")
+    return F.broadcast(df) if bytes_of(df) <= BROADCAST_BYTES and df.count() <= rows else df
 
 
 def quoted(name: str) -> Column:

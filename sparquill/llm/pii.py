@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_LETTERS, GENERALISE, REMOVE, CHANCE = 4, 0.7, 0.9, 0.05
+#: Matches whose places are summed up together.
+CHUNK = 128
 #: Copies agree in all MinHash values of one of the bands.
 BANDS, BAND_VALUES = 8, 2
 
@@ -70,21 +72,36 @@ def _valid(kind: str, match: Column) -> Column:
 
 def _may_have(kind: str, text: Column) -> Column:
     """A cheap condition without which there is no match."""
-    return {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]+\.[0-9]"), "card": text.rlike(r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"), "phone": text.contains("+")}[kind]
+    digits = text.rlike(r"[0-9]\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){7}")  # one search for both kinds
+    return {"email": text.contains("@"), "ip": digits, "card": digits, "phone": text.contains("+")}[kind]
 
 
 def places(text: Column, pattern: Column, kind: str) -> Column:
-    """Spans of all matches: the texts between them and their own lengths, summed up."""
+    """Spans of the valid matches: the texts between all matches and their own lengths, summed up.
+
+    The sums of CHUNK matches each come first, so that no list as long as the matches is copied for each of them.
+    """
     between, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+    sizes = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda x, y: F.struct(F.length(x).alias("gap"), F.length(y).alias("own"), _valid(kind, y).alias("fine")))
+
+    def spans(begin: Column, part: Column) -> Column:
+        start = F.struct(begin.alias("at"), F.array().cast(_SPAN).alias("spans"))
+
+        def step(a: Column, x: Column) -> Column:
+            end = a["at"] + x["gap"] + x["own"]
+            span = F.struct(F.lit(kind).alias("kind"), (a["at"] + x["gap"]).alias("start"), end.alias("end"))
+            return F.struct(end.alias("at"), F.when(x["fine"], F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
 
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + F.length(x["between"])
-        end = begin + F.length(x["match"])
-        return F.struct(end.alias("at"), F.concat(a["spans"], F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end")))).alias("spans"))
+        return F.aggregate(part, start, step)["spans"]
 
-    pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(matches)).alias("between"), matches.alias("match"))
-    return F.aggregate(pairs, start, step)["spans"]
+    def parts(sizes: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(sizes) / CHUNK).cast("int") - 1), lambda i: F.slice(sizes, i * CHUNK + 1, F.lit(CHUNK)))
+        total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x["gap"] + x["own"])
+        begins = F.aggregate(cut, F.array(F.lit(0)), lambda a, part: F.concat(a, F.array(F.element_at(a, -1) + total(part))))
+        return F.flatten(F.zip_with(F.slice(begins, F.lit(1), F.size(cut)), cut, spans))
+
+    # A list of one element lets ``sizes`` be named, so that it is computed once.
+    return F.when(F.size(matches) > 0, F.element_at(F.transform(F.array(sizes), parts), 1)).otherwise(F.array().cast(_SPAN))
 
 
 def base_spans(text: Column) -> Column:
@@ -92,7 +109,7 @@ def base_spans(text: Column) -> Column:
     none = F.array().cast("array<struct<start:int,k:int,end:int>>")
 
     def of(k: int, kind: str) -> Column:
-        spans = F.filter(places(text, F.lit(PATTERNS[kind]), kind), lambda s: _valid(kind, F.substring(text, s["start"] + 1, s["end"] - s["start"])))
+        spans = places(text, F.lit(PATTERNS[kind]), kind)
         return F.when(_may_have(kind, text), F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end")))).otherwise(none)
 
     found = [of(k, kind) for k, kind in enumerate(KINDS)]
@@ -116,7 +133,12 @@ def _groups(docs: DataFrame) -> DataFrame:
     """docs(row, terms) to (row, group): copies share a group."""
     bands = common.stored(docs.select("row", F.explode(_bands(F.col("terms"))).alias("band")), "bands")
     firsts = bands.groupBy("band").agg(F.min("row").alias("first"))
-    return bands.join(common.small(common.stored(firsts, "firsts")), "band").groupBy("row").agg(F.min("first").alias("group"))
+    return bands.join(common.small(firsts), "band").groupBy("row").agg(F.min("first").alias("group"))
+
+
+def _row(key: Column, text: Column) -> Column:
+    """128 bits for an id and a text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))))
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
@@ -125,20 +147,20 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     value = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
     # Different rows by steps of plain counts, so that a frequent pair is summed where it is read.
     entities = common.stored(spans.select("row", value.alias("entity")).groupBy("entity", "row").agg(F.count(F.lit(1)).alias("x")), "entities")
-    n_entity = common.stored(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where("n_entity > 1"), "met")
+    n_entity = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where("n_entity > 1")
     held = common.stored(entities.select("entity", "row").join(common.small(n_entity), "entity"), "held")
     rows = common.small(held.select("row").distinct())
     near = common.stored(docs.select("row", "text").join(rows, "row").select("row", _terms(F.col("text")).alias("terms")), "near")
-    held = common.stored(held.join(common.small(common.stored(_groups(near), "groups")), "row"), "grouped")
+    held = common.stored(held.join(common.small(_groups(near)), "row"), "grouped")
     n_groups = held.groupBy("entity", "group").agg(F.count(F.lit(1)).alias("x")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_groups")).where("n_groups > 1")
-    held = common.stored(held.join(common.small(common.stored(n_groups, "several")), "entity"), "several-held")
+    held = common.stored(held.join(common.small(n_groups), "entity"), "several-held")
     pairs = near.select("row", F.explode(F.array_distinct("terms")).alias("term")).join(common.small(held), "row")
     known = ["entity", "term", "n_entity", "n_groups"]
     met = pairs.groupBy(*known, "group", "row").agg(F.count(F.lit(1)).alias("x")).groupBy(*known, "group").agg(F.count(F.lit(1)).alias("rows"))
     met = common.stored(met.groupBy(*known).agg(F.sum("rows").alias("both"), F.count(F.lit(1)).alias("both_groups")), "pairs")
     tested = met.count()
     # One meeting tells nothing, whatever the number of tests.
-    candidates = common.stored(met.where("both_groups > 1"), "candidates")
+    candidates = met.where("both_groups > 1")
     words = docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     known = common.small(candidates.select("term").distinct())
     # An inner join: Spark would push a semi join below the counts and join each word of the corpus.
@@ -158,12 +180,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """docs with spans: array<struct<kind,start,end>> of base kinds and ``term`` or ``removed``, by start."""
     text = common.quoted(text_col)
     keep = common.without(docs, ["spans"])
-    rows = docs.select(*[common.quoted(c) for c in keep], F.xxhash64(common.quoted(id_col), text).alias("__row"), F.coalesce(base_spans(text), F.array().cast(_SPAN)).alias("__base"))
+    rows = docs.select(*[common.quoted(c) for c in keep], _row(common.quoted(id_col), text).alias("__row"), F.coalesce(base_spans(text), F.array().cast(_SPAN)).alias("__base"))
     terms = disclosing_terms(rows.select(F.col("__row").alias("row"), text.alias("text"), F.col("__base").alias("spans")))
     words = rows.select("__row", F.explode(F.array_distinct(_terms(text))).alias("term"))
     per = words.join(common.small(terms), "term").groupBy("__row")
     per = per.agg(*[F.collect_set(F.when(c, F.col("term"))).alias(name) for name, c in (("__terms", F.col("disclosure") < REMOVE), ("__removed", F.col("disclosure") >= REMOVE))])
-    rows = rows.join(common.small(common.stored(per, "told")), "__row", "left")
+    rows = rows.join(common.small(per), "__row", "left")
     base = F.col("__base")
 
     def more(column: str, kind: str) -> Column:

@@ -1,9 +1,11 @@
+import hashlib
+import math
 import random
 import re
 
 from pyspark.sql import functions as F
 
-from sparquill.llm import pii
+from sparquill.llm import pii, queries
 
 RULES = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
@@ -68,6 +70,69 @@ def test_terms_of_two_documents_and_far_from_the_entity(spark, documents):
     assert rows[2] == rows[3] == ["email"] and rows[104] == ["email"] and not rows[10]
 
 
+def disclosed(texts):
+    """Terms and their disclosure by the formula, for texts that are copies only where they are equal."""
+    n, held, words = len(texts), {}, [{w for w in re.split(r"[^a-zA-Z]+", t.lower()) if len(w) >= pii.MIN_LETTERS} for t in texts]
+    for i, t in enumerate(texts):
+        for _, a, b in brute(t):
+            held.setdefault(t[a:b], set()).add(i)
+    held = {e: rows for e, rows in held.items() if len({texts[i] for i in rows}) > 1}
+    pairs = {(e, w): [i for i in rows if w in words[i]] for e, rows in held.items() for w in set().union(*[words[i] for i in rows])}
+    out = {}
+    for (e, w), both in pairs.items():
+        groups, met, usual = len({texts[i] for i in held[e]}), len({texts[i] for i in both}), sum(w in x for x in words) / n
+        share = met / groups
+        if met < 2 or usual >= share:
+            continue
+        other = (1 - share) * math.log((1 - share) / (1 - usual)) if share < 1 else 0
+        told = math.log2(len(both) / (n * usual) * n / len(held[e])) / math.log2(n / len(held[e]))
+        if math.log(len(pairs)) - groups * (share * math.log(share / usual) + other) <= math.log(pii.CHANCE) and told >= pii.GENERALISE:
+            out[w] = max(out.get(w, 0), told)
+    return out
+
+
+def _corpus():
+    rng = random.Random(9)
+    vocabulary = [a + b + c for a in ("lo", "mi", "tu", "ra") for b in ("ker", "san", "dov") for c in ("ane", "ist", "um")]
+    texts = []
+    for i in range(240):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(8, 40))]
+        if i % 12 < 2:  # five people, with a name that others bear now and then
+            words[rng.randrange(len(words))] = f"person{i % 12}{'abcde'[i // 12 % 5]}@x.org"
+            words[rng.randrange(len(words))] += f" quill{'abcde'[i // 12 % 5]}on"
+        elif rng.random() < 0.04:
+            words[0] = f"Quill{rng.choice('abcde')}on"
+        texts.append(" ".join(words))
+    return texts + texts[:13] + [" ".join(texts[20:60]) * 20]  # copies, and a very long one
+
+
+def test_disclosure_and_query_against_brute_force(spark, tmp_path):
+    texts = _corpus()
+    want = disclosed(texts)
+    assert want
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0]), (900, None), (901, "")], "doc_id long, text string")
+    keyed = rows.where("doc_id < 900").select("doc_id", "text", F.coalesce(pii.base_spans(F.col("text")), F.array().cast(pii._SPAN)).alias("spans"))
+    found = {r.term: r.disclosure for r in pii.disclosing_terms(keyed.select(pii._row(F.col("doc_id"), F.col("text")).alias("row"), "text", "spans")).collect()}
+    assert set(found) == set(want) and all(abs(found[w] - want[w]) < 1e-9 for w in want)
+
+    rows.where("doc_id < 900").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in queries.op2_pii(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        base = brute(t)
+        more = [("removed" if want[m.group().lower()] >= pii.REMOVE else "term", *m.span()) for m in re.finditer("[a-zA-Z]+", t) if m.group().lower() in want]
+        more = [s for s in more if not any(s[1] < b and a < s[2] for _, a, b in base)]
+        told = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert out[i].base_sha256 == hashlib.sha256(told(base).encode()).hexdigest() and out[i].n_email == sum(k == "email" for k, _, _ in base)
+        assert out[i].spans == told(sorted(base + more, key=lambda s: s[1]))
+    assert {r.doc_id: len(r.spans) for r in pii.find(rows.where("doc_id is null or doc_id >= 900 or doc_id = 0")).collect()} == {None: 1, 0: 1, 900: 0, 901: 0}
+
+
+def test_very_many_matches(spark, documents):
+    text = "é a@b.c +1 499 555 6503, " * 3000
+    (row,) = documents([text]).select(pii.base_spans(F.col("text")).alias("spans")).collect()
+    assert [tuple(s) for s in row.spans] == brute(text)
+
+
 def test_sanitise_overlaps(spark):
     df = spark.createDataFrame([("abcdef", [("email", 1, 4), ("ip", 2, 5)]), (None, []), ("x", [])], "text string, spans array<struct<kind:string,start:int,end:int>>")
     assert [r.text for r in pii.sanitise(df).collect()] == ["a[EMAIL]f", None, "x"]
