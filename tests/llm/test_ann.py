@@ -28,8 +28,9 @@ def test_edges(spark):
 
 
 def test_recall_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 300)
-    monkeypatch.setattr(ann, "PAGE_ROWS", 8)
+    monkeypatch.setattr(ann, "CELL_ROWS", 100)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(ann, "PAGE_ROWS", 4)
     rng = np.random.default_rng(1)
     x = rng.standard_normal((1500, 24)).astype(np.float32) + 2 * rng.standard_normal((12, 24))[rng.integers(0, 12, 1500)].astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
@@ -40,6 +41,36 @@ def test_recall_and_blocks(spark, monkeypatch):
     assert len(got) == 150 and len(want & {(q, i) for q, _, i, _ in got}) / len(want) >= 0.95
 
 
+def test_far_cells_stay_closed():
+    rng = np.random.default_rng(2)
+    centres = 20 * rng.standard_normal((40, 24))
+    x = centres[rng.integers(0, 40, 8000)] + 0.2 * rng.standard_normal((8000, 24))
+    points = ann.projected(x)
+    cells = ann.Cells(points, 32)
+    own = cells.route(points)
+    assert len(cells.low) == 32 and np.bincount(own, minlength=32).min() > 0
+    assert all((cells.low[c] <= p).all() and (p <= cells.high[c]).all() for c, p in zip(own, points))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    bound = np.sort(unit[:50] @ unit.T, 1)[:, -6]
+    opened = [len(cells.open_to(p, ann.far_of(b))) for p, b in zip(points[:50], bound)]
+    assert np.mean(opened) < 6
+
+
+def test_very_large_and_very_small_components(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1e-170, 0.0]), (2, [1e200, 1e200]), (3, [5e-324, 5e-324]), (4, [0.0, 1e300]), (5, [1.0, 0.9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    half = round(math.sqrt(0.5), 12)
+    got = _got(ann.search(df, df.where("vec_id in (0, 1)"), 5))
+    assert got[:5] == [(0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 3, 5, round(1.9 / math.sqrt(2 * 1.81), 12)), (0, 4, 1, half), (0, 5, 4, half)]
+    assert [g[3] for g in got[5:]] == [round(1 / math.sqrt(1.81), 12), half, half, half, 0.0]
+
+
+def test_several_vectors_of_one_id(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.1, 1.0]), (3, [1.0, 0.1]), (3, [0.1, 1.0])], "vec_id long, embedding array<float>")
+    assert [r[1:3] for r in _got(ann.search(df, df.where("vec_id = 1"), 5))] == [(1, 2), (2, 3)]
+    assert [r[1:3] for r in _got(ann.search(df, df.where("vec_id = 2"), 5))] == [(1, 3), (2, 1)]
+
+
 def test_rows_that_repeat_an_id_take_one_place(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0])] * 50 + [(i, [1.0, 0.1 * i]) for i in range(2, 9)], "vec_id long, embedding array<float>")
     assert [r[2] for r in _got(ann.search(df, df.where("vec_id = 2"), 3))] == [3, 4, 1]
