@@ -134,5 +134,11 @@ def append_arrow(
     return shown.mapInArrow(run, schema)
 
 
+def row_key(key: Column, text: Column) -> Column:
+    """128 bits for an id and a text; null and empty texts differ."""
+    shown = F.when(text.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), text))
+    return F.unhex(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit("\n"), shown)))
+
+
 def sha256_of(column: Column) -> Column:
     return F.sha2(column.cast("binary"), 256)

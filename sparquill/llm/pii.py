@@ -136,11 +136,6 @@ def _groups(docs: DataFrame) -> DataFrame:
     return bands.join(common.small(firsts), "band").groupBy("row").agg(F.min("first").alias("group"))
 
 
-def _row(key: Column, text: Column) -> Column:
-    """128 bits for an id and a text."""
-    return F.unhex(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))))
-
-
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """docs(row, text, spans) to (term, disclosure): the highest disclosure of each significant term that reaches GENERALISE."""
     spans = docs.where(F.size("spans") > 0).select("row", "text", F.explode("spans").alias("s"))
@@ -180,7 +175,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """docs with spans: array<struct<kind,start,end>> of base kinds and ``term`` or ``removed``, by start."""
     text = common.quoted(text_col)
     keep = common.without(docs, ["spans"])
-    rows = docs.select(*[common.quoted(c) for c in keep], _row(common.quoted(id_col), text).alias("__row"), F.coalesce(base_spans(text), F.array().cast(_SPAN)).alias("__base"))
+    rows = docs.select(*[common.quoted(c) for c in keep], common.row_key(common.quoted(id_col), text).alias("__row"), F.coalesce(base_spans(text), F.array().cast(_SPAN)).alias("__base"))
     terms = disclosing_terms(rows.select(F.col("__row").alias("row"), text.alias("text"), F.col("__base").alias("spans")))
     words = rows.select("__row", F.explode(F.array_distinct(_terms(text))).alias("term"))
     per = words.join(common.small(terms), "term").groupBy("__row")

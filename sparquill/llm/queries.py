@@ -80,7 +80,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.group(common.table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+    return minhash.group(common.table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85).drop("row", "root")
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

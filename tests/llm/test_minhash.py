@@ -76,6 +76,29 @@ def test_dense_regions_miss_no_more_than_sparse_ones(spark, documents):
     assert _rows(minhash.group(documents(texts), percent=80)) == brute(texts, 80)
 
 
+def test_one_odd_row_does_not_open_the_square(spark):
+    rows = [(7, i, 0) for i in range(5000)] + [(7, 6000, 6000)] + [(8, i, i % 300 + 10_000) for i in range(7000, 8000)]
+    members = spark.createDataFrame(rows, "region long, node long, root long")
+    dealt = minhash._blocks(members).where("region = 7")
+    assert dealt.groupBy("i", "j").count().agg({"count": "max"}).first()[0] <= 2 * minhash.BLOCK_ROWS
+    assert dealt.count() < 2 * 5001 and dealt.select("node").distinct().count() == 5001
+    met = minhash._blocks(members).groupBy("region", "i", "j").agg({"node": "collect_set"}).collect()
+    both = [set(r[3]) for r in met]
+    assert all(any({6000, i} <= b for b in both) for i in range(0, 5000, 97))
+    assert all(any({7001, i} <= b for b in both) for i in range(7002, 8000))
+
+
+def test_near_copies_without_ids(spark, documents):
+    texts = copies(5, 3, 9)
+    out = minhash.group(documents(texts, [None] * len(texts)))
+    want = {}
+    for (i, _, top, _), t in zip(brute(texts, 80), texts):
+        want.setdefault(top, set()).add(t)
+    assert out.select("root").distinct().count() == len(want) and all(r.component_id is None for r in out.collect())
+    kept = minhash.kept_rows(minhash.group(documents(texts + [""], [None] * (len(texts) + 1))))
+    assert kept.count() == len(want) + 1
+
+
 def test_repeated_and_null_ids(spark, documents):
     out = minhash.group(documents(["a b c d e f"] * 3 + ["other words"], [5, 5, None, 9]))
     assert sorted((r.doc_id or -1, r.component_id, r.kept) for r in out.collect()) == [(-1, 5, False), (5, 5, True), (5, 5, True), (9, 9, True)]

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from sparquill.llm import pii, queries
+from sparquill.llm import common, pii, queries
 
 RULES = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
@@ -112,7 +112,7 @@ def test_disclosure_and_query_against_brute_force(spark, tmp_path):
     assert want
     rows = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0]), (900, None), (901, "")], "doc_id long, text string")
     keyed = rows.where("doc_id < 900").select("doc_id", "text", F.coalesce(pii.base_spans(F.col("text")), F.array().cast(pii._SPAN)).alias("spans"))
-    found = {r.term: r.disclosure for r in pii.disclosing_terms(keyed.select(pii._row(F.col("doc_id"), F.col("text")).alias("row"), "text", "spans")).collect()}
+    found = {r.term: r.disclosure for r in pii.disclosing_terms(keyed.select(common.row_key(F.col("doc_id"), F.col("text")).alias("row"), "text", "spans")).collect()}
     assert set(found) == set(want) and all(abs(found[w] - want[w]) < 1e-9 for w in want)
 
     rows.where("doc_id < 900").write.parquet(str(tmp_path / "documents.parquet"))
