@@ -25,10 +25,16 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id, and of rows that repeat it one."""
-    kept = minhash.group(docs, percent=SIMILAR).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(common.small(common.stored(kept, "kept")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One document of each group of near-duplicates, that of the smallest doc_id, and every document without words.
+
+    Rows are told apart by id and text together, so different texts of one id, and rows without ids, each count. Of rows
+    that agree in both, one stays.
+    """
+    docs = docs.withColumn("__row", common.row_key(F.col("doc_id"), F.col("text")))
+    kept = common.stored(minhash.kept_rows(minhash.group(docs, percent=SIMILAR)), "kept")
+    alone = docs.join(common.small(kept.where("n = 1 or root is null").select(F.col("row").alias("__row"))), "__row", "left_semi")
+    several = docs.join(common.small(kept.where("n > 1 and root is not null").select(F.col("row").alias("__row"))), "__row", "left_semi")
+    return alone.unionByName(several.dropDuplicates(["__row"])).select(*[c for c in docs.columns if c != "__row"])
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
