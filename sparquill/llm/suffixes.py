@@ -1,21 +1,28 @@
 """Suffix-array deduplication by distributed prefix doubling.
 
-Every byte string of SIZE bytes that starts at two places or more is removed at all of them. Ranking every byte
-position in every round would sort eight bytes and more for each byte of text, nine times; so the positions that are
-ranked are anchors: of the GRAM-byte strings inside a window of SIZE bytes the first of the smallest hash. It depends
-on the window's bytes only, so equal windows have their anchor at the same offset, and neighbouring windows mostly
-share it: one position in about 185 is ranked.
-
-A rank names the string that all windows of an anchor at the offsets [x, y] have in common. The first round ranks
-anchors by their gram. Each further round cuts the offsets in PARTS, which makes the common string longer, and ranks
-the pairs of the rank before and the longer string; Spark groups equal pairs. Positions of a unique rank are done and
-nothing is removed for them; positions where all bytes that the windows cover are equal to another's are done too, and
-removed; the rest go on until the common string has SIZE bytes. Of equal anchors one goes on for all, since they could
-only tell what it tells, so thousands of copies cost no more than two.
+Every byte string of SIZE bytes that starts at two places or more is removed at all of them.
+
+Sorting every byte position in every round would move twenty bytes for each byte of text, nine times. So the text is
+reduced first, to the positions of a synchronising set: a position is in it if, of the REACH + 1 grams of GRAM bytes
+that begin within REACH bytes of some place, its gram has the smallest hash. Whether a position is in the set depends on
+the bytes near it only, so equal strings have the same positions inside; one position in about 40 is in the set. The
+symbol of a position is the string from it to the next.
+
+Prefix doubling ranks these positions: first by their symbols, then by the pair of their own rank and that of the
+position 1, 2, 4, ... symbols further on. In each round Spark groups equal pairs; the rank of a group is the
+smallest position in it, so ranks are exact names of what they stand for. A position whose rank nobody shares is unique:
+it and the longer runs that begin or continue with it go no further. A position is past the threshold when a run twice
+as long would leave the windows of SIZE bytes that it stands for: those whose first position REACH bytes or more from
+their beginning it is. The two strings of a repeat thus meet in one rank, whatever stands around them.
+
+What is left is to compare the edges. Ranked positions with all windows that they may stand for are compared by 128 bits
+of all the bytes these cover: where those equal another's, all the windows go. Of equal ones one goes on for all,
+and only if its rank has others; the rest are cut in PARTS, twice, down to single windows, by the same rule. Equal
+texts count as one throughout, so thousands of copies cost no more than two.
 
 Edge cases: a null or empty text has no bytes; shorter texts than SIZE lose nothing; matches never cross documents; a
 string that repeats within one document counts; rows that repeat one another are each other's copies; null ids are
-kept. A text of one repeated short unit has an anchor at each byte: all are ranked, none is dropped.
+kept. A text of one repeated short unit has every position in the set: all are ranked, none is dropped.
 """
 
 from __future__ import annotations
@@ -23,14 +30,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common, hashing
 from .hashing import between
 
-SIZE, GRAM, PARTS = 400, 32, 8
+SIZE, GRAM, REACH, PARTS = 400, 12, 80, 9
 #: Positions or spans that may be broadcast; more are joined by a shuffle.
 BROADCAST_NUMBERS = 4_000_000
 _LOW = np.uint64((1 << 28) - 1)
@@ -50,54 +57,101 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[: n - width + 1], forward[width - 1 : n])
 
 
-def anchors(raws: list[bytes], size: int = SIZE, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Anchors of the texts: text (index), at (position), low and high (offsets of its windows), gram and whole (ranks; 0: the text ends before)."""
+def positions(raws: list[bytes], size: int = SIZE, gram: int = GRAM, reach: int = REACH) -> dict[str, np.ndarray]:
+    """The synchronising set of the texts, but for the last position of each.
+
+    text (index), i (ordinal), at (position), symbol (hash), n (symbols that each window of the position holds; -1 if it
+    stands for none), low and high (how far its windows begin before it).
+    """
     ends = hashing.chunk_ends([len(r) for r in raws])
     flat = np.frombuffer(b"".join(raws), np.uint8).astype(np.uint64) + np.uint64(1)
-    none = {k: np.zeros(0, np.int64) for k in ("text", "at", "low", "high", "gram", "whole")}
+    none = {k: np.zeros(0, np.int64) for k in ("text", "i", "at", "symbol", "n", "low", "high")}
     if len(flat) < size:
         return none
     prefixes = hashing.prefix_hashes(flat)
     place = np.arange(len(flat) - gram + 1)
-    grams = between(prefixes, place, place + gram)
-    least = sliding_least((grams & ~_LOW) | place.astype(np.uint64), size - gram + 1)
+    least = sliding_least((between(prefixes, place, place + gram) & ~_LOW) | place.astype(np.uint64), reach + 1)
     text = np.repeat(np.arange(len(raws)), np.diff(ends))
-    start = np.arange(len(flat) - size + 1)
-    start = start[text[start] == text[start + size - 1]]
-    if not len(start):
+    inside = text[: len(least)] == text[reach + gram - 1 :]
+    at = np.unique((least[inside] & _LOW).astype(np.int64))
+    if len(at) < 2:
         return none
-    chosen = (least[start] & _LOW).astype(np.int64)
-    first = np.ones(len(start), bool)
-    first[1:] = (chosen[1:] != chosen[:-1]) | (start[1:] != start[:-1] + 1)
-    begin = np.flatnonzero(first)
-    end = np.append(begin[1:], len(start)) - 1
-    at = chosen[begin]
     own = text[at]
-    left, right = at - (size - gram), at + size
-    inside = (left >= ends[own]) & (right <= ends[own + 1])
-    whole = np.zeros(len(at), np.uint64)
-    whole[inside] = between(prefixes, left[inside], right[inside]) | np.uint64(1)
-    return {"text": own, "at": at - ends[own], "low": at - start[end], "high": at - start[begin], "gram": grams[at].view(np.int64), "whole": whole.view(np.int64)}
+    start, stop = ends[own], ends[own + 1]
+    first = np.searchsorted(at, start)
+    before = np.full(len(at), -1)
+    before[1:] = at[:-1]
+    begin = np.where(np.arange(len(at)) == first, start, np.maximum(before - reach + 1, start))
+    end = np.minimum(at - reach, stop - size)
+    n = np.searchsorted(at, np.minimum(at + size - gram - 3 * reach, stop - 1), "right") - 1 - np.arange(len(at))
+    n = np.where(begin <= end, n, -1)
+    after = np.append(at[1:], at[-1])
+    which = np.flatnonzero(np.append(own[1:] == own[:-1], False) | (n >= 0))
+    symbol = between(prefixes, at, np.maximum(after, at))
+    return {"text": own[which], "i": (np.arange(len(at)) - first)[which], "at": (at - start)[which], "symbol": symbol.view(np.int64)[which], "n": n[which], "low": (at - end)[which], "high": (at - begin)[which]}
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, row: 128 bits of the text."""
     docs = docs.select(common.quoted(id_col).alias("doc_id"), common.quoted(text_col).alias("text"))
-    return docs.withColumns({"key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), "row": F.xxhash64("doc_id", "text")})
+    return docs.withColumn("row", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+
+
+def _different(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Of docs(doc_id, text, row), long enough: texts (doc, row, copies), and sources (doc, text, copied), a row for each different text."""
+    long_ = docs.where(F.octet_length("text") >= size)
+    each = long_.groupBy("row", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    texts = each.groupBy("row").agg(F.sum("n").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("one"))
+    texts = texts.select(F.monotonically_increasing_id().alias("doc"), "row", "copies", F.col("one.doc_id").alias("id"), F.col("one.n").alias("n"))
+    texts = common.stored(texts, "texts")
+    found = long_.join(common.small(texts), "row").where(F.col("doc_id").eqNullSafe(F.col("id")))
+    shown = [F.col("doc"), F.col("text"), (F.col("copies") > 1).alias("copied"), F.col("n")]
+    once, more = found.select(*shown).where("n = 1"), found.select(*shown).where("n > 1").dropDuplicates(["doc"])
+    return texts, once.unionByName(more).drop("n")
 
 
-def _anchor_table(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    names = ["key", "row", "at", "low", "high", "gram", "whole"]
+def _position_table(sources: DataFrame, size: int, gram: int, reach: int) -> DataFrame:
+    names = ["doc", "copied", "i", "at", "symbol", "n", "low", "high"]
 
     def run(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, common.SLICE_ROWS):
                 part = batch.slice(begin, common.SLICE_ROWS)
-                found = anchors([(t or "").encode("utf-8", "replace") for t in part.column(2).to_pylist()], size, gram)
-                own = [part.column(i).to_numpy()[found["text"]] for i in (0, 1)]
-                small = [found[k].astype(np.int32) for k in ("at", "low", "high")]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*own, *small, found["gram"], found["whole"])], names)
-
-    return docs.select("key", "row", "text").mapInArrow(run, "key long, row long, at int, low int, high int, gram long, whole long")
+                found = positions([t.encode("utf-8", "replace") for t in part.column(1).to_pylist()], size, gram, reach)
+                own = [part.column(i).to_numpy(zero_copy_only=False)[found["text"]] for i in (0, 2)]
+                small = {k: found[k].astype(np.int32) for k in ("i", "at", "n", "low", "high")}
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*own, small["i"], small["at"], found["symbol"], small["n"], small["low"], small["high"])], names)
+
+    return sources.mapInArrow(run, "doc long, copied boolean, i int, at int, symbol long, n int, low int, high int")
+
+
+_STATE = ["doc", "copied", "at", "low", "high", "rank"]
+
+
+def doubled(table: DataFrame) -> DataFrame:
+    """Positions(doc, copied, i, at, symbol, n, low, high, id) to those that stand for windows and share their rank with others: (doc, copied, at, low, high, rank)."""
+    out = [table.where("n = 0").select(*_STATE[:-1], F.lit(-1).cast("long").alias("rank"))]  # no symbol to rank by
+    keys, names = table.withColumnRenamed("symbol", "own").withColumn("next", F.lit(0).cast("long")), ["own", "next"]
+    k, used = 0, []
+    while True:
+        # A rank is the smallest position of its group; groups of one are gone.
+        shared = keys.groupBy(*names).agg(F.min("id").alias("rank"), F.count(F.lit(1)).alias("equal")).where("equal > 1").drop("equal")
+        ranked = common.stored(keys.join(common.stored(shared, "ranks"), names).drop(*names), f"ranked-{k}")
+        out.append(ranked.where((F.col("n") >= 1 << k) & (F.col("n") < 2 << k)).select(*_STATE))
+        used.append(ranked)
+        if ranked.where(F.col("n") >= 2 << k).isEmpty():
+            break
+        doc = Window.partitionBy("doc")
+        further = F.first("rank").over(doc.orderBy("i").rangeBetween(1 << k, 1 << k))
+        keys = ranked.withColumns({"next": further, "most": F.max("n").over(doc)}).where((F.col("most") >= 2 << k) & F.col("next").isNotNull())
+        keys, names = keys.drop("most").withColumnRenamed("rank", "own"), ["own", "next"]
+        k += 1
+    states = out[0]
+    for more in out[1:]:
+        states = states.unionByName(more)
+    states = common.stored(states, "states")
+    common.discard(*used)
+    return states
 
 
 def _few(df: DataFrame, column: str) -> DataFrame:
@@ -106,39 +160,38 @@ def _few(df: DataFrame, column: str) -> DataFrame:
     return F.broadcast(df) if n[0] <= BROADCAST_NUMBERS // 8 and (n[1] or 0) <= BROADCAST_NUMBERS else df
 
 
-def _parts(x: int, y: int) -> list[tuple[int, int]]:
-    step = -(-(y - x + 1) // PARTS)
-    return [(a, min(a + step - 1, y)) for a in range(x, y + 1, step)]
+def _cut(x: int, y: int, width: int) -> list[tuple[int, int]]:
+    return [(a, min(a + width - 1, y)) for a in range(x, y + 1, width)]
 
 
-def _ranked(texts: DataFrame, states: DataFrame, size: int) -> DataFrame:
-    """states(key, row, at, low, high, rank, x, y, done) to their parts: common (hash of the common string) and whole (of all bytes that the windows cover; 0 beyond the text)."""
+def _compared(texts: DataFrame, states: DataFrame, size: int, width: int) -> DataFrame:
+    """states(doc, copied, at, low, high, rank, x, y, done) to parts of ``width`` windows: common (hash of what all windows share), w1 and w2 (of all bytes that they cover; 0 beyond the text)."""
     names = ["at", "low", "high", "rank", "x", "y", "done"]
-    lists = states.groupBy("key", "row").agg(F.collect_list(F.struct(*names)).alias("states"))
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+    lists = states.groupBy("doc").agg(F.collect_list(F.struct(*names)).alias("states"))
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
 
     def run(batches):
-        digest = xxhash.xxh3_64_intdigest
+        digest, whole = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_intdigest
         for batch in batches:
             for begin in range(0, batch.num_rows, 64):
                 part = batch.slice(begin, 64)
                 out = []
-                for key, row, text, own in zip(*[part.column(i).to_pylist() for i in range(4)]):
-                    raw = (text or "").encode("utf-8", "replace")
+                for doc, text, own in zip(*[part.column(i).to_pylist() for i in range(3)]):
+                    raw = text.encode("utf-8", "replace")
                     for s in own:
                         at, low, high = s["at"], s["low"], s["high"]
-                        for a, b in _parts(s["x"], s["y"]):
+                        for a, b in _cut(s["x"], s["y"], width):
                             if b < low or a > high or a > at or at + size - b > len(raw):
                                 continue  # not its windows, or all of them beyond the text
                             inside = b <= at and at + size - a <= len(raw)
-                            whole = digest(raw[at - b : at + size - a], 7) | 1 if inside else 0
-                            out.append((key, row, at, low, high, s["rank"], a, b, s["done"], digest(raw[at - a : at + size - b]), whole))
-                columns = list(zip(*out)) or [[] for _ in kinds]
-                signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns[9:]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[:9], kinds)] + signed, ["key", "row", *names, "common", "whole"])
+                            all_ = whole(raw[at - b : at + size - a]) | 1 if inside else 0
+                            out.append((doc, at, low, high, s["rank"], a, b, s["done"], digest(raw[at - a : at + size - b]), all_ >> 64, all_ & (1 << 64) - 1))
+                columns = list(zip(*out)) or [[] for _ in range(11)]
+                signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns[8:]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[:8], kinds)] + signed, ["doc", *names, "common", "w1", "w2"])
 
-    schema = "key long, row long, at int, low int, high int, rank long, x int, y int, done boolean, common long, whole long"
-    return texts.join(lists, ["key", "row"]).select("key", "row", "text", "states").mapInArrow(run, schema)
+    schema = "doc long, at int, low int, high int, rank long, x int, y int, done boolean, common long, w1 long, w2 long"
+    return texts.join(lists, "doc").select("doc", "text", "states").mapInArrow(run, schema)
 
 
 def _spans(columns) -> list[pa.Array]:
@@ -154,56 +207,53 @@ def _spans(columns) -> list[pa.Array]:
     return [hashing.list_of(out, pa.int32())]
 
 
-def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """docs(key, row, text) to (key, row, spans): the bytes to remove, as begin, end, begin, end, ..."""
-    first = common.stored(_anchor_table(docs, size, gram), "anchors")
-    cover = lambda low, high: [(F.col("at") - high).alias("begin"), (F.col("at") - low + size).alias("end")]
-
-    # First round: ranks are grams; anchors whose whole surroundings are another's are done, but one of them goes on.
-    same = first.where("whole <> 0").groupBy("whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "row", "at")).alias("one")).where("n > 1")
-    same = common.stored(same, "same")
-    table = first.join(same.drop("n"), "whole", "left").withColumn("done", F.col("one").isNotNull())
-    table = table.withColumn("goes", ~F.col("done") | (F.col("one") == F.struct("key", "row", "at")))
-    table = common.stored(table.drop("one", "whole"), "classes")
-    common.discard(first, same)
-    removed = [table.where("done").select("key", "row", *cover(F.col("low"), F.col("high")))]
-    going = table.where("goes")
-    repeated = common.stored(going.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
-    states = going.join(repeated, "gram").select("key", "row", "at", "low", "high", F.col("gram").alias("rank"), F.lit(0).alias("x"), F.lit(size - gram).alias("y"), "done")
-    states = common.stored(states, "states")
-    open_ = common.stored(states.select("key", "row").distinct(), "rows")
-    texts = common.stored(docs.select("key", "row", "text").join(common.small(open_), ["key", "row"], "left_semi").dropDuplicates(["key", "row"]), "texts")
+def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, reach: int = REACH) -> DataFrame:
+    """docs(doc_id, text, row) to (row, spans): the bytes to remove, as begin, end, begin, end, ..."""
+    assert size >= 3 * reach + gram, "a window must hold a position whatever stands around it"
+    texts, sources = _different(docs, size)
+    table = common.stored(_position_table(sources, size, gram, reach).withColumn("id", F.monotonically_increasing_id()), "positions")
+    found = doubled(table)
+    common.discard(table)
+    states = found.select("doc", "at", "low", "high", "rank", F.lit(reach).alias("x"), F.lit(2 * reach).alias("y"), F.col("copied").alias("done"))
+    open_ = common.small(states.select("doc").distinct())
+    raws = common.stored(sources.join(open_, "doc", "left_semi").select("doc", "text"), "open-texts")
 
-    width = size - gram + 1
-    while width > 1:
-        width = -(-width // PARTS)
+    removed, width = [], reach + 1
+    while True:
         # A state that is done goes on for others only; what it removes is known.
-        parts = common.stored(_ranked(texts, states, size).withColumn("rank", F.xxhash64("rank", "x", "y")), "parts")
+        parts = common.stored(_compared(raws, states, size, width).withColumn("rank", F.xxhash64("rank", "x")), "parts")
         group = ["rank", "common"]
-        wholes = parts.groupBy(*group, "whole").agg(F.count(F.lit(1)).alias("equal"), F.min(F.struct("key", "row", "at")).alias("one"))
+        wholes = parts.groupBy(*group, "w1", "w2").agg(F.count(F.lit(1)).alias("equal"), F.min(F.struct("doc", "at")).alias("one"))
         wholes = common.stored(wholes, "wholes")
-        shared = wholes.groupBy(*group).agg(F.sum("equal").alias("n")).where("n > 1").drop("n")
+        shared = wholes.groupBy(*group).agg(F.sum("equal").alias("n"), F.count(F.lit(1)).alias("kinds")).where("n > 1").drop("n")
         shared = common.stored(wholes.join(shared, group), "shared")
-        ranked, parts = parts, parts.join(shared, [*group, "whole"])
-        equal = (F.col("equal") > 1) & (F.col("whole") != 0)
-        parts = parts.withColumns({"rank": F.xxhash64(*group), "fresh": equal & ~F.col("done"), "goes": ~equal | (F.col("one") == F.struct("key", "row", "at")), "done": equal | F.col("done")})
-        parts = common.stored(parts.drop("one", "common", "whole", "equal"), "judged")
+        ranked, parts = parts, parts.join(shared, [*group, "w1", "w2"])
+        equal = (F.col("equal") > 1) & (F.col("w2") != 0)
+        goes = F.when(equal, (F.col("kinds") > 1) & (F.col("one") == F.struct("doc", "at"))).otherwise(True)
+        parts = parts.withColumns({"rank": F.xxhash64(*group), "fresh": equal & ~F.col("done"), "goes": goes, "done": equal | F.col("done")})
+        parts = common.stored(parts.drop("one", "common", "w1", "w2", "equal", "kinds").where("fresh or goes"), "judged")
         common.discard(ranked, wholes, shared)
-        removed.append(parts.where("fresh").select("key", "row", *cover(F.greatest("x", "low"), F.least("y", "high"))))
-        states = parts.where("goes").drop("fresh", "goes")
+        removed.append(parts.where("fresh").select("doc", (F.col("at") - F.least("y", "high")).alias("begin"), (F.col("at") - F.greatest("x", "low") + size).alias("end")))
+        if width == 1:
+            break
+        states, width = parts.where("goes").drop("fresh", "goes"), -(-width // PARTS)
     spans = removed[0]
     for more in removed[1:]:
         spans = spans.unionByName(more)
-    lists = spans.groupBy("key", "row").agg(F.collect_set(F.struct("begin", "end")).alias("pairs"))
+    lists = spans.groupBy("doc").agg(F.collect_set(F.struct("begin", "end")).alias("pairs"))
     out = common.append_arrow(lists, ["pairs"], lambda: _spans, [T.StructField("spans", T.ArrayType(T.IntegerType()))])
-    return common.stored(out.select("key", "row", "spans"), "spans")
+    out = out.select("doc", "spans").join(texts.where("copies = 1").select("doc", "row"), "doc").select("row", "spans")
+    whole = texts.where("copies > 1").select("row", F.lit(None).cast("array<int>").alias("spans"))
+    return common.stored(out.unionByName(whole), "spans")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM, reach: int = REACH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (begin, end, ...), kept (binary): one row for each row of docs."""
     docs = _keyed(docs, id_col, text_col)
-    spans = repeated_spans(docs, size, gram)
-    rows = docs.join(_few(spans, "spans"), ["key", "row"], "left")
+    spans = repeated_spans(docs, size, gram, reach).withColumn("copied", F.col("spans").isNull())
+    rows = docs.join(_few(spans, "spans"), "row", "left")
+    whole = F.array(F.lit(0), F.octet_length("text"))
+    rows = rows.withColumn("spans", F.when(F.col("copied"), whole).otherwise(F.col("spans"))).drop("copied", "row")
     fields = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())]
 
     def make():

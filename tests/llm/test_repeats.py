@@ -79,16 +79,16 @@ def test_substrings_with_repeated_and_null_ids(spark, documents):
 def test_suffixes_against_brute_force(spark, documents, alphabet):
     texts = EDGES + passages(alphabet + 1, alphabet=alphabet) + ["same row of some words"] * 2
     rows = list(enumerate(texts))
-    got = suffixes.deduplicate(documents(texts), size=40, gram=8)
+    got = suffixes.deduplicate(documents(texts), size=40, gram=4, reach=6)
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect())
     assert got == brute_bytes(rows, 40)
 
 
 def test_suffixes_with_repeated_and_null_ids(spark, documents):
     text = " ".join(f"w{i}" for i in range(30))
-    got = suffixes.deduplicate(documents([text, text, "other", text[:30]], [5, 5, None, None]), size=40, gram=8).collect()
+    got = suffixes.deduplicate(documents([text, text, "other", text[:30]], [5, 5, None, None]), size=40, gram=4, reach=6).collect()
     assert sorted(r.n_removed for r in got) == [0, 0, len(text), len(text)]
-    assert suffixes.deduplicate(documents([]), size=40, gram=8).count() == 0
+    assert suffixes.deduplicate(documents([]), size=40, gram=4, reach=6).count() == 0
 
 
 def test_queries(spark):
