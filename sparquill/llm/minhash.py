@@ -42,7 +42,7 @@ from .hashing import mixed, word_hashes
 #: SIZES: the most rows of a sparse region.
 SHINGLE, TREES, DEPTHS, SIZES = 5, 20, (4, 6, 8), (32,)
 #: Rows of a block of a dense region.
-BLOCK_ROWS = 256
+BLOCK_ROWS = 512
 
 _RANDOM = np.random.default_rng(6)
 _MASKS = _RANDOM.integers(0, 1 << 32, TREES * DEPTHS[-1], np.uint32)
@@ -152,11 +152,12 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, p
 def _blocks(members: DataFrame) -> DataFrame:
     """members(region, node, root) to (region, node, root, i, j): each row of a block for each pair of blocks it takes part in.
 
-    A root of BLOCK_ROWS or more rows in a region has blocks of its own, named by it; the others' rows share blocks.
+    A root of a quarter of BLOCK_ROWS or more in a region has blocks of its own, named by it; the others' rows share blocks.
     """
     sizes = common.stored(members.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n")), "roots-of-regions")
-    rest = sizes.where(F.col("n") < BLOCK_ROWS).groupBy("region").agg(F.sum("n").alias("rest"))
-    many = sizes.where(F.col("n") >= BLOCK_ROWS)
+    large = F.col("n") >= BLOCK_ROWS // 4
+    rest = sizes.where(~large).groupBy("region").agg(F.sum("n").alias("rest"))
+    many = sizes.where(large)
     rows = members.join(many, ["region", "root"], "left").join(rest, "region", "left")
     parts = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("long")
     own = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("node"), parts("n"))).otherwise(F.pmod(F.xxhash64("root"), parts("rest")))

@@ -1,10 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class (toxic, ordinary) has an interpolated Kneser-Ney model of order ORDER over the bytes of words, for expressions
-that are new but spelt like known ones, and a smoothed unigram model of words by the documents that hold them, without
-context: expressions of several words that are ordinary by themselves have no evidence. In the model of bytes the highest
-order counts each class by itself; the lower orders share continuation counts of both classes, so an expression that
-a class has rarely or never seen is smoothed by what is known of it at all, and cancels out of the comparison.
+Each class (toxic, ordinary) has two interpolated Kneser-Ney models: one of order ORDER over the bytes of words, for
+expressions that are new but spelt like known ones, and one of order 2 over words, for known words and for expressions of
+two words that are ordinary by themselves. The highest orders count each class by itself (words and pairs of words by
+the documents that hold them, with a discount of 1). Below them stand continuation counts that both classes share: of
+how many different bytes precede a row of bytes, of how many different words precede a word. So an expression that a
+class has rarely or never seen is smoothed by what is known of it at all, and cancels out of the comparison. What the
+discounts leave for the shared counts is one share for both classes, else unseen words would tell.
 
 The log-likelihoods are compared and normalised by length: over the window of WINDOW words where the ratio is highest,
 since a long text may be toxic in a passage only, and over the whole text for ratios that are strong evidence. A
@@ -31,9 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import common, hashing
 
-ORDER, SLOTS, WINDOW, DISCOUNT, SHARE, FLOOR, STRONG, EMPTY = 5, 1 << 20, 2, 0.75, 0.1, 20, 4.0, 0.0
+ORDER, WINDOW, DISCOUNT, FLOOR, STRONG, EMPTY, FEATURES = 5, 2, 0.75, 60, 4.0, 0.0, 5
 #: Labelled rows, about, that fit the curve (of a fifth of the training part, by hash), and words a worker remembers.
 CURVE_ROWS, MEMO_WORDS = 20_000, 200_000
 
@@ -62,38 +64,41 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return packed, sizes
 
 
-def slot(packed: np.ndarray) -> np.ndarray:
-    """Place of a gram in a table of SLOTS; ``_slot`` is the same in SQL."""
-    return (packed ^ packed >> 13 ^ packed >> 21) & (SLOTS - 1)
-
-
-def _slot(packed: Column) -> Column:
-    return packed.bitwiseXOR(F.shiftright(packed, 13)).bitwiseXOR(F.shiftright(packed, 21)).bitwiseAND(F.lit(SLOTS - 1))
-
-
 def word_keys(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) >> 1 for w in words), np.int64, len(words))
 
 
+def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (hashing.mixed(left.view(np.uint64) * hashing.STEP + right.view(np.uint64)) >> np.uint64(1)).view(np.int64)
+
+
 def count(train: DataFrame) -> DataFrame:
-    """train(text, label 0/1) to (kind, key, n0, n1) over all rows: kind 0, n-grams of bytes by occurrence; kind 1, words by document."""
+    """train(text, label 0/1) to (kind, key, word, n0, n1) over all rows.
+
+    Kind 0: n-grams of bytes by occurrence. Kind 1: words by document. Kind 2: words and the word after them, by document.
+    """
 
     def run(batches):
         from collections import Counter
 
-        seen, held = (Counter(), Counter()), (Counter(), Counter())
+        seen, held, pairs = (Counter(), Counter()), (Counter(), Counter()), (Counter(), Counter())
 
-        def table(kind, keys, counts):
-            all_keys, back = np.unique(np.concatenate(keys), return_inverse=True)
-            split = len(keys[0])
-            sums = [np.bincount(back[:split], counts[0], len(all_keys)), np.bincount(back[split:], counts[1], len(all_keys))]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(all_keys), kind, np.int32)), pa.array(all_keys), *[pa.array(n.astype(np.int64)) for n in sums]], ["kind", "key", "n0", "n1"])
+        def table(kind, keys, counts, words=None):
+            names = np.concatenate(keys if words is None else [pair_keys(v, w) for v, w in zip(keys, words)])
+            _, first, back = np.unique(names, return_index=True, return_inverse=True)
+            split, n = len(keys[0]), len(first)
+            sums = [np.bincount(back[:split], counts[0], n), np.bincount(back[split:], counts[1], n)]
+            second = np.zeros(n, np.int64) if words is None else np.concatenate(words)[first]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.concatenate(keys)[first]), pa.array(second), *[pa.array(x.astype(np.int64)) for x in sums]], ["kind", "key", "word", "n0", "n1"])
 
         def flush():
             packed = [grams(list(c)) for c in seen]
-            yield table(0, [p for p, _ in packed], [np.repeat(np.fromiter(c.values(), np.int64, len(sizes)), sizes) for c, (_, sizes) in zip(seen, packed)])
-            yield table(1, [word_keys(list(c)) for c in held], [np.fromiter(c.values(), np.int64, len(c)) for c in held])
-            for c in (*seen, *held):
+            numbers = lambda c: np.fromiter(c.values(), np.int64, len(c))
+            yield table(0, [p for p, _ in packed], [np.repeat(numbers(c), sizes) for c, (_, sizes) in zip(seen, packed)])
+            yield table(1, [word_keys(list(c)) for c in held], [numbers(c) for c in held])
+            both = [(word_keys([v for v, _ in c]), word_keys([w for _, w in c])) for c in pairs]
+            yield table(2, [v for v, _ in both], [numbers(c) for c in pairs], [w for _, w in both])
+            for c in (*seen, *held, *pairs):
                 c.clear()
 
         for batch in batches:
@@ -101,33 +106,50 @@ def count(train: DataFrame) -> DataFrame:
                 words = words_of(text)
                 seen[label].update(words)
                 held[label].update(set(words))
-                if len(seen[0]) + len(seen[1]) > MEMO_WORDS:
+                pairs[label].update(set(zip(words, words[1:])))
+                if sum(map(len, (*seen, *pairs))) > MEMO_WORDS:
                     yield from flush()
         yield from flush()
 
-    rows = train.select("text", F.col("label").cast("int")).mapInArrow(run, "kind int, key long, n0 long, n1 long")
-    return rows.groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    rows = train.select("text", F.col("label").cast("int")).mapInArrow(run, "kind int, key long, word long, n0 long, n1 long")
+    return rows.groupBy("kind", "key", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
 
+def _over(c: int) -> Column:
+    """A count beyond the discount of 1: one document alone is no evidence."""
+    return F.greatest(F.col(f"n{c}") - 1, F.lit(0))
 
-def _word_ratios(words: DataFrame) -> DataFrame:
-    """(kind, key, v) of the seen words; of any other the ratio is 0.
 
-    A word of one document only is no evidence (a discount of 1). Both classes give SHARE of their mass to the shared
-    backoff, the documents of both classes that hold the word and FLOOR more, so that a rare word tells little.
+def _word_ratios(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(kind, key, v): kind 2 words, kind 3 pairs that several toxic documents hold. Any other pair has the ratio of its second word, any other word 0.
+
+    The shared backoff of a word is the number of different words that precede it, and FLOOR more, so that a rare word tells little.
     """
-    t = words.agg(*[F.coalesce(F.sum(F.greatest(F.col(f"n{c}") - 1, F.lit(0))), F.lit(0)).alias(f"all{c}") for c in (0, 1)], F.coalesce(F.sum(F.col("n0") + F.col("n1") + FLOOR), F.lit(1)).alias("all")).first()
-    shared = SHARE * (F.col("n0") + F.col("n1") + FLOOR) / float(t["all"])
-    likely = lambda c: (1 - SHARE) * F.greatest(F.col(f"n{c}") - 1, F.lit(0)) / float(max(t[f"all{c}"], 1)) + shared
-    return words.select(F.lit(2).alias("kind"), "key", F.log(likely(1) / likely(0)).alias("v"))
+    before = pairs.groupBy(F.col("word").alias("key")).agg(F.count(F.lit(1)).alias("kinds"))
+    words = common.stored(words.select("key", "n0", "n1").join(before, "key", "left").withColumn("base", F.coalesce("kinds", F.lit(0)) + FLOOR), "words")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    t = words.agg(*[total(_over(c)).alias(f"over{c}") for c in (0, 1)], total(F.col("n0") + F.col("n1")).alias("all"), total("base").alias("base")).first()
+    share = 1 - (t["over0"] + t["over1"]) / max(t["all"], 1)
+    likely = lambda c: (1 - share) * _over(c) / float(max(t[f"over{c}"], 1)) + share * F.col("base") / float(max(t["base"], 1))
+    words = words.select("key", likely(0).alias("p0"), likely(1).alias("p1"))
+    own = words.select("key", F.lit(0).cast("long").alias("word"), F.log(F.col("p1") / F.col("p0")).alias("v"), F.lit(2).alias("kind"))
+
+    both = pairs.groupBy("key").agg(*[F.sum(_over(c)).alias(f"over{c}") for c in (0, 1)], F.sum(F.col("n0") + F.col("n1")).alias("all")).where("over0 + over1 > 0")
+    seen = pairs.where(_over(1) > 0).join(both, "key").join(words.withColumnRenamed("key", "word"), "word")
+    left = 1 - (F.col("over0") + F.col("over1")) / F.col("all")
+    # A class without evidence for a first word keeps the backoff only, as the other class does for a pair that it lacks.
+    after = lambda c: (1 - left) * _over(c) / F.greatest(F.col(f"over{c}"), F.lit(1)) + left * F.col(f"p{c}")
+    least = F.lit(1e-12)  # of a first word that no pair is left for
+    return own.unionByName(seen.select("key", "word", F.log(F.greatest(after(1), least) / F.greatest(after(0), least)).alias("v"), F.lit(3).alias("kind")))
 
 
 Table = tuple[np.ndarray, np.ndarray]
 
 
-def ratios(counted: DataFrame) -> tuple[Table, Table, Table]:
-    """Log-likelihood ratios as sorted keys and their values: of n-grams, of any other n-gram by its context, and of words."""
+def ratios(counted: DataFrame) -> tuple[Table, Table, Table, Table]:
+    """Log-likelihood ratios as sorted keys and their values: of n-grams, of any other n-gram by its context, of words, and of pairs of words."""
     counts = counted.where("kind = 0").select(F.col("key").alias("gram"), "n0", "n1")
-    words = _word_ratios(counted.where("kind = 1"))
+    words = _word_ratios(counted.where("kind = 1"), counted.where("kind = 2"))
     d = DISCOUNT
     # Shared lower orders: how many different bytes precede a gram of k bytes, for k from ORDER - 1 down to 1.
     lower, seen = {}, counts.select(F.col("gram").alias("g"))
@@ -148,14 +170,15 @@ def ratios(counted: DataFrame) -> tuple[Table, Table, Table]:
     likely = lambda c: F.when(F.col(f"all{c}") > 0, F.greatest(F.col(f"n{c}") - d, F.lit(0.0)) / F.col(f"all{c}")).otherwise(F.lit(0.0)) + F.col(f"left{c}") * F.col("p")
     own = own.select(F.lit(1).alias("kind"), F.col("gram").alias("key"), F.log(likely(1) / likely(0)).alias("v"))
     rest = context.select(F.lit(0).alias("kind"), F.col("h").alias("key"), F.log(F.col("left1") / F.col("left0")).alias("v"))
-    rows = own.unionByName(rest.unionByName(words).where("v <> 0")).select("kind", "key", F.col("v").cast("float").alias("v"))
-    found = rows.toArrow()  # a row for each n-gram, context and word that has evidence
-    kind, key, v = (found.column(c).to_numpy() for c in ("kind", "key", "v"))
+    rows = own.unionByName(rest).withColumn("word", F.lit(0).cast("long")).unionByName(words).where("v <> 0 or kind in (1, 3)")
+    found = rows.select("kind", "key", "word", F.col("v").cast("float").alias("v")).toArrow()  # what has evidence
+    kind, key, word, v = (found.column(c).to_numpy() for c in ("kind", "key", "word", "v"))
     out = []
-    for k in (1, 0, 2):
-        order = np.argsort(key[kind == k])
-        out.append((key[kind == k][order], v[kind == k][order]))
-    return out[0], out[1], out[2]
+    for k in (1, 0, 2, 3):
+        keys = key[kind == k] if k < 3 else pair_keys(key[kind == k], word[kind == k])
+        order = np.argsort(keys)
+        out.append((keys[order], v[kind == k][order]))
+    return tuple(out)
 
 
 def look_up(table: Table, keys: np.ndarray, other: float) -> np.ndarray:
@@ -168,10 +191,17 @@ def look_up(table: Table, keys: np.ndarray, other: float) -> np.ndarray:
 
 
 class Scorer:
-    """Features of a text: the highest mean ratio of a window by bytes and by words, the mean of the two highest ratios of words, and what ratios of words exceed STRONG by, in all, by the logarithm of the length."""
+    """Features of a text: the highest mean ratio of a window by bytes and by words, the mean of the two highest ratios of words, what ratios of words exceed STRONG by, in all, by the logarithm of the length, and the most by which a word tells more after the word before it than by itself."""
+
+    def __init__(self, seen: Table, context: Table, words: Table, pairs: Table):
+        self.seen, self.context, self.words, self.pairs = seen, context, words, pairs
+        self.maybe = hashing.Filter(26)
+        self.maybe.add(pairs[0])
+        self.forget()
 
-    def __init__(self, seen: Table, context: Table, words: Table):
-        self.seen, self.context, self.words, self.memo = seen, context, words, {}
+    def forget(self) -> None:
+        """What is known of the words met, by their number: sum and number of the ratios of their bytes, own ratio; key."""
+        self.memo, self.each, self.keys = {}, np.zeros((0, 3)), np.zeros(0, np.int64)
 
     def learn(self, words: list[str]) -> None:
         packed, sizes = grams(words)
@@ -181,25 +211,33 @@ class Scorer:
         v = look_up(self.seen, known, np.nan)
         v = np.where(np.isnan(v), look_up(self.context, known >> 8, 0.0), v)[back]
         sums = np.add.reduceat(v, np.cumsum(sizes) - sizes)
-        own = look_up(self.words, word_keys(words), 0.0)
-        self.memo.update(zip(words, zip(sums.tolist(), sizes.tolist(), own.tolist())))
+        keys = word_keys(words)
+        self.memo.update(zip(words, range(len(self.keys), len(self.keys) + len(words))))
+        self.each = np.vstack([self.each, np.column_stack([sums, sizes, look_up(self.words, keys, 0.0)])])
+        self.keys = np.concatenate([self.keys, keys])
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         rows = [words_of(t) for t in texts]
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
+            self.forget()
         self.learn(list({w for r in rows for w in r if w not in self.memo}))
-        out = np.zeros((len(rows), 4))
+        out = np.zeros((len(rows), FEATURES))
         get = self.memo.__getitem__
         for i, r in enumerate(rows):
             if not r:
                 continue
-            each = np.array(list(map(get, r)))
+            at = np.fromiter(map(get, r), np.int64, len(r))
+            each, keys = self.each[at], self.keys[at]
+            pairs = pair_keys(keys[:-1], keys[1:])
+            some = np.flatnonzero(self.maybe.has(pairs))
+            own = look_up(self.pairs, pairs[some], np.nan)
+            after = each[:, 2].copy()
+            after[some + 1] = np.where(np.isnan(own), after[some + 1], own)
             sums = np.vstack([np.zeros(3), np.cumsum(each, 0)])
             w = min(WINDOW, len(r))
             part = sums[w:] - sums[:-w]
             top = np.partition(each[:, 2], max(len(r) - 2, 0))[-2:]
-            out[i] = (part[:, 0] / part[:, 1]).max(), part[:, 2].max() / w, top.mean(), np.maximum(each[:, 2] - STRONG, 0).sum() / np.log2(2 + len(r))
+            out[i] = (part[:, 0] / part[:, 1]).max(), part[:, 2].max() / w, top.mean(), np.maximum(each[:, 2] - STRONG, 0).sum() / np.log2(2 + len(r)), np.maximum(after - each[:, 2], 0).max()
         return out
 
 
@@ -234,7 +272,7 @@ def _features(df: DataFrame, tables, text_col: str) -> DataFrame:
 
         def work(columns):
             x = scorer.features(columns[0].to_pylist())
-            return [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * 4, pa.int32()), pa.array(x.ravel()))]
+            return [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * FEATURES, pa.int32()), pa.array(x.ravel()))]
 
         return work
 
