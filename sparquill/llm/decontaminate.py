@@ -92,14 +92,14 @@ def _index(benchmark: DataFrame) -> DataFrame:
 
 
 def _hits(docs: DataFrame, masks: list[str], known: hashing.Filter | None) -> DataFrame:
-    """docs(id, row, text) to (id, row, hash, at), for hashes that may be the benchmark's."""
+    """docs(row, text) to (row, hash, at), for hashes that may be the benchmark's."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, common.SLICE_ROWS):
                 part = batch.slice(begin, common.SLICE_ROWS)
-                rows = [words_of(t) for t in part.column(2).to_pylist()]
+                rows = [words_of(t) for t in part.column(1).to_pylist()]
                 ends = hashing.chunk_ends([len(r) for r in rows])
                 words = hashing.word_hashes([w for r in rows for w in r])
                 text = np.repeat(np.arange(len(rows)), np.diff(ends))
@@ -108,34 +108,33 @@ def _hits(docs: DataFrame, masks: list[str], known: hashing.Filter | None) -> Da
                     at = np.flatnonzero(shared.value.has(hashing.token(h))) if shared.value is not None else np.arange(len(h))
                     at = at[text[at] == text[at + len(mask) - 1]]
                     own = text[at]
-                    columns = [part.column(i).take(pa.array(own)) for i in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(h[at].view(np.int64)), pa.array((at - ends[own]).astype(np.int32))], ["id", "row", "hash", "at"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), pa.array(h[at].view(np.int64)), pa.array((at - ends[own]).astype(np.int32))], ["row", "hash", "at"])
 
-    return docs.mapInArrow(run, "id long, row long, hash long, at int")
+    return docs.mapInArrow(run, "row binary, hash long, at int")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(row, id, item, first_word, last_word): overlaps of documents and items; row is xxhash64(id, text)."""
+    """(row, item, first_word, last_word): overlaps of documents and items; row is ``common.row_key`` of id and text.
+
+    A seed that many items and documents share lays each of these items on each of these documents; Spark splits the join
+    where the seeds are too many to broadcast, and each lie is one narrow row until it is verified.
+    """
     items = benchmark.select(common.quoted(item_col).cast("long").alias("item"), common.quoted(item_text_col).alias("item_text"))
     index = common.stored(_index(items), "seeds")
     masks = sorted(r[0] for r in index.select("mask").distinct().collect())  # MASKS, or runs of fewer words than WINDOW
     source = docs.select(common.quoted(id_col).cast("long").alias("id"), common.quoted(text_col).alias("text"))
-    source = source.withColumn("row", F.xxhash64("id", "text"))
+    source = source.select(common.row_key(F.col("id"), F.col("text")).alias("row"), "text")
     hashes = index.select("hash").distinct()
     n = hashes.count()
     known = None
     if n <= hashing.FILTER_KEYS:
         known = hashing.Filter(FILTER_BITS if n <= 1 << (FILTER_BITS - 4) else hashing.FILTER_BITS)
         known.add(hashing.token(hashes.toArrow().column("hash").to_numpy()))
-    hits = _hits(source.select("id", "row", "text"), masks, known).join(common.small(index.drop("mask")), "hash")
-    lies = hits.select("id", "row", "item", (F.col("at") - F.col("place")).alias("at")).distinct()
-    lies = common.stored(lies, "lies")
-    places = common.stored(lies.groupBy("id", "row").agg(F.collect_list(F.struct("item", "at")).alias("lies")), "places")
-    texts = items.groupBy("item").agg(F.collect_list("item_text").alias("item_texts"))
-    laid = places.select("row", F.explode("lies").alias("lie")).select("row", "lie.item", "lie.at")
-    texts = common.small(texts.withColumnRenamed("item", "own"), 10_000)
-    wanted = common.stored(laid.join(texts, F.col("item").eqNullSafe(F.col("own"))).drop("own"), "wanted")
-    rows = source.select("id", "row", "text").join(common.small(places.select("row").distinct()), "row", "left_semi").dropDuplicates(["row"])
+    hits = _hits(source, masks, known).join(common.small(index.drop("mask")), "hash")
+    lies = common.stored(hits.select("row", "item", (F.col("at") - F.col("place")).alias("at")).distinct(), "lies")
+    texts = common.small(items.groupBy("item").agg(F.collect_list("item_text").alias("item_texts")).withColumnRenamed("item", "own"))
+    wanted = common.stored(lies.join(texts, F.col("item").eqNullSafe(F.col("own"))).drop("own"), "wanted")
+    rows = source.join(common.small(lies.select("row").distinct()), "row", "left_semi").dropDuplicates(["row"])
     both = rows.join(wanted, "row")
     run = T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])
     kind = common.to_arrow_type(T.ArrayType(run))
@@ -151,7 +150,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         return work
 
     found = common.append_arrow(both, ["text", "item_texts", "at"], make, [T.StructField("runs", T.ArrayType(run))])
-    found = found.select("row", "id", "item", F.explode("runs").alias("r")).select("row", "id", "item", F.col("r.begin").alias("first_word"), (F.col("r.end") - 1).alias("last_word"))
+    found = found.select("row", "item", F.explode("runs").alias("r")).select("row", "item", F.col("r.begin").alias("first_word"), (F.col("r.end") - 1).alias("last_word"))
     return common.stored(found.distinct(), "overlaps")
 
 
@@ -164,7 +163,7 @@ def judge(docs: DataFrame, overlaps: DataFrame, id_col: str = "doc_id", text_col
     per = common.stored(per.select("row", "items", F.aggregate(F.array_sort("runs"), start, step)["n"].alias("n_overlap"), "first_word"), "judged")
     names = ["contaminated", "n_items", "items", "n_overlap", "first_word"]
     keep = common.without(docs, names)
-    rows = docs.select(*[common.quoted(c) for c in keep], F.xxhash64(common.quoted(id_col).cast("long"), common.quoted(text_col)).alias("__row"))
+    rows = docs.select(*[common.quoted(c) for c in keep], common.row_key(common.quoted(id_col).cast("long"), common.quoted(text_col)).alias("__row"))
     rows = rows.join(common.small(per.withColumnRenamed("row", "__row")), "__row", "left")
     none = F.col("items").isNull()
     return rows.select(

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from sparquill.llm import decontaminate as dc
+from sparquill.llm import queries
 
 
 def brute(document, items):
@@ -63,3 +64,21 @@ def test_items_with_null_ids_contaminate(spark, documents):
     docs = documents([f"see {t} end" for t in texts])
     rows = dc.judge(docs, dc.find(docs, bench)).orderBy("doc_id").collect()
     assert [(r.contaminated, r.n_items, r.n_overlap) for r in rows] == [(True, 0, 20), (True, 0, 20), (False, 0, 0)]
+
+
+def test_query_on_a_fixture(spark, tmp_path):
+    """Documents and items of the test tables, with substitutions put into the passages that they share, as the query has them."""
+    rng, d = random.Random(8), "/root/testdata/sf0.001"
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").limit(25).collect()]
+    texts = [r.text[:1500] for r in spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").limit(50).collect()]
+    for i, text in items:
+        words = text.split()[: rng.choice([13, 20, 60])]
+        for k in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = f"other{k}"
+        texts.append(rng.choice(texts[:50])[:200] + " " + " ".join(words) + " end")
+    rows = list(enumerate(texts)) + [(len(texts), None), (len(texts) + 1, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: (r.contaminated, r["items"]) for r in queries.op10_decontaminate(spark, str(tmp_path)).collect()}
+    want = {i: brute(t, items) for i, t in rows}
+    assert got == {i: (bool(w), ",".join(map(str, w))) for i, w in want.items()} and sum(map(bool, want.values())) > 10
