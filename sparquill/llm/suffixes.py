@@ -5,7 +5,7 @@ Every byte string of SIZE bytes that starts at two places or more is removed at
 Sorting every byte position in every round would move twenty bytes for each byte of text, nine times. So the text is
 reduced first, to the positions of a synchronising set: a position is in it if, of the REACH + 1 grams of GRAM bytes
 that begin within REACH bytes of some place, its gram has the smallest hash. Whether a position is in the set depends on
-the bytes near it only, so equal strings have the same positions inside; one position in about 40 is in the set. The
+the bytes near it only, so equal strings have the same positions inside; one position in about 50 is in the set. The
 symbol of a position is the string from it to the next.
 
 Prefix doubling ranks these positions: first by their symbols, then by the pair of their own rank and that of the
@@ -15,7 +15,7 @@ it and the longer runs that begin or continue with it go no further. A position
 as long would leave the windows of SIZE bytes that it stands for: those whose first position REACH bytes or more from
 their beginning it is. The two strings of a repeat thus meet in one rank, whatever stands around them.
 
-What is left is to compare the edges. Ranked positions with all windows that they may stand for are compared by 128 bits
+What is left is to compare the edges. Ranked positions with all windows that they stand for are compared by 128 bits
 of all the bytes these cover: where those equal another's, all the windows go. Of equal ones one goes on for all,
 and only if its rank has others; the rest are cut in PARTS, twice, down to single windows, by the same rule. Equal
 texts count as one throughout, so thousands of copies cost no more than two.
@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from . import common, hashing
 from .hashing import between
 
-SIZE, GRAM, REACH, PARTS = 400, 12, 80, 9
+SIZE, GRAM, REACH, PARTS = 400, 12, 96, 10
 #: Positions or spans that may be broadcast; more are joined by a shuffle.
 BROADCAST_NUMBERS = 4_000_000
 _LOW = np.uint64((1 << 28) - 1)
@@ -165,10 +165,14 @@ def _cut(x: int, y: int, width: int) -> list[tuple[int, int]]:
 
 
 def _compared(texts: DataFrame, states: DataFrame, size: int, width: int) -> DataFrame:
-    """states(doc, copied, at, low, high, rank, x, y, done) to parts of ``width`` windows: common (hash of what all windows share), w1 and w2 (of all bytes that they cover; 0 beyond the text)."""
+    """states(doc, at, low, high, rank, x, y, done) to parts of ``width`` windows.
+
+    rank: hash of the rank so far and of what all windows of the part share; w1, w2: hash of all bytes that its own windows cover, and of
+    which these are (0 if that is beyond the text).
+    """
     names = ["at", "low", "high", "rank", "x", "y", "done"]
     lists = states.groupBy("doc").agg(F.collect_list(F.struct(*names)).alias("states"))
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
 
     def run(batches):
         digest, whole = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_intdigest
@@ -183,14 +187,15 @@ def _compared(texts: DataFrame, states: DataFrame, size: int, width: int) -> Dat
                         for a, b in _cut(s["x"], s["y"], width):
                             if b < low or a > high or a > at or at + size - b > len(raw):
                                 continue  # not its windows, or all of them beyond the text
-                            inside = b <= at and at + size - a <= len(raw)
-                            all_ = whole(raw[at - b : at + size - a]) | 1 if inside else 0
-                            out.append((doc, at, low, high, s["rank"], a, b, s["done"], digest(raw[at - a : at + size - b]), all_ >> 64, all_ & (1 << 64) - 1))
-                columns = list(zip(*out)) or [[] for _ in range(11)]
-                signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns[8:]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[:8], kinds)] + signed, ["doc", *names, "common", "w1", "w2"])
-
-    schema = "doc long, at int, low int, high int, rank long, x int, y int, done boolean, common long, w1 long, w2 long"
+                            first, last = at - min(b, high), at - max(a, low)
+                            all_ = whole(raw[first : last + size], (at - first) << 32 | at - last) | 1 if first >= 0 and last + size <= len(raw) else 0
+                            key = digest(raw[at - a : at + size - b], s["rank"] + a & (1 << 64) - 1)
+                            out.append((doc, at, low, high, a, b, s["done"], key, all_ >> 64, all_ & (1 << 64) - 1))
+                columns = list(zip(*out)) or [[] for _ in range(10)]
+                signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns[7:]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[:7], kinds)] + signed, ["doc", "at", "low", "high", "x", "y", "done", "rank", "w1", "w2"])
+
+    schema = "doc long, at int, low int, high int, x int, y int, done boolean, rank long, w1 long, w2 long"
     return texts.join(lists, "doc").select("doc", "text", "states").mapInArrow(run, schema)
 
 
@@ -221,17 +226,16 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, reach: i
     removed, width = [], reach + 1
     while True:
         # A state that is done goes on for others only; what it removes is known.
-        parts = common.stored(_compared(raws, states, size, width).withColumn("rank", F.xxhash64("rank", "x")), "parts")
-        group = ["rank", "common"]
-        wholes = parts.groupBy(*group, "w1", "w2").agg(F.count(F.lit(1)).alias("equal"), F.min(F.struct("doc", "at")).alias("one"))
+        parts = common.stored(_compared(raws, states, size, width), "parts")
+        wholes = parts.groupBy("rank", "w1", "w2").agg(F.count(F.lit(1)).alias("equal"), F.min(F.struct("doc", "at")).alias("one"))
         wholes = common.stored(wholes, "wholes")
-        shared = wholes.groupBy(*group).agg(F.sum("equal").alias("n"), F.count(F.lit(1)).alias("kinds")).where("n > 1").drop("n")
-        shared = common.stored(wholes.join(shared, group), "shared")
-        ranked, parts = parts, parts.join(shared, [*group, "w1", "w2"])
+        shared = wholes.groupBy("rank").agg(F.sum("equal").alias("n"), F.count(F.lit(1)).alias("kinds")).where("n > 1").drop("n")
+        shared = common.stored(wholes.join(shared, "rank"), "shared")
+        ranked, parts = parts, parts.join(shared, ["rank", "w1", "w2"])
         equal = (F.col("equal") > 1) & (F.col("w2") != 0)
         goes = F.when(equal, (F.col("kinds") > 1) & (F.col("one") == F.struct("doc", "at"))).otherwise(True)
-        parts = parts.withColumns({"rank": F.xxhash64(*group), "fresh": equal & ~F.col("done"), "goes": goes, "done": equal | F.col("done")})
-        parts = common.stored(parts.drop("one", "common", "w1", "w2", "equal", "kinds").where("fresh or goes"), "judged")
+        parts = parts.withColumns({"fresh": equal & ~F.col("done"), "goes": goes, "done": equal | F.col("done")})
+        parts = common.stored(parts.drop("one", "w1", "w2", "equal", "kinds").where("fresh or goes"), "judged")
         common.discard(ranked, wholes, shared)
         removed.append(parts.where("fresh").select("doc", (F.col("at") - F.least("y", "high")).alias("begin"), (F.col("at") - F.greatest("x", "low") + size).alias("end")))
         if width == 1:
