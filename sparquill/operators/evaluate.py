@@ -49,6 +49,33 @@ def is_judged(content_type: Column) -> Column:
     return F.coalesce(content_type.isin(*JUDGED_TYPES), F.lit(False))
 
 
+def judged(samples: DataFrame, verdict: Column, content_type: str = "content_type") -> DataFrame:
+    """samples with judge_score and judge_reasoning, null where the content type isn't judged.
+
+    ``verdict``: a judging model's JSON answer. What is missing or doesn't parse is an error of the judge and scores 0.
+    """
+    from .prompts import parsed
+
+    v = parsed(verdict, "score double, reasoning string")
+    failed = v["failed"] | v["value"]["score"].isNull()
+    chosen = is_judged(F.col(content_type))
+    score = F.when(failed, 0.0).otherwise(v["value"]["score"])
+    reason = F.when(failed, F.lit("Judge error")).otherwise(v["value"]["reasoning"])
+    return samples.withColumns({"judge_score": F.when(chosen, score), "judge_reasoning": F.when(chosen, reason)})
+
+
+def samples(found: DataFrame, docs: DataFrame, questions: DataFrame, generator, k: int = 5) -> DataFrame:
+    """An evaluation run: found(query_id, rank, doc_id, score), docs(doc_id, text), questions(query_id, question, ...) to a sample for each question.
+
+    The columns of questions, contexts, scores (both by rank; empty if nothing was found) and answer of ``generator``.
+    """
+    rows = found.where(F.col("rank") <= k).join(docs.select("doc_id", "text"), "doc_id")
+    rows = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text", "score"))).alias("r"))
+    out = questions.join(rows, "query_id", "left")
+    out = out.withColumns({"contexts": F.coalesce(F.transform("r", lambda x: x["text"]), F.array().cast("array<string>")), "scores": F.coalesce(F.transform("r", lambda x: x["score"]), F.array().cast("array<double>"))}).drop("r")
+    return out.withColumn("answer", generator(F.col("question"), F.col("contexts")))
+
+
 def means(samples: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Plain means; what is null (not judged) doesn't count."""
     return samples.groupBy(*by).agg(*[F.round(F.avg(c), 6).alias(c) for c in columns])

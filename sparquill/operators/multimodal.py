@@ -47,3 +47,20 @@ def combine(text: DataFrame, tables: DataFrame, images: DataFrame, mode: str = "
             part = df.where(F.col("rank") <= cap).select("query_id", F.lit(name).alias("modality"), "rank", "id")
             out = part if out is None else out.unionByName(part)
     return out
+
+
+def as_documents(items: DataFrame, modality: str) -> DataFrame:
+    """Tables or figures to documents: modality, item_id, page, caption (empty, never null), text, and for figures chart_type (empty, never null).
+
+    Tables have item_id, page, caption, text; figures also chart_type and description, which is their text.
+    """
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    base = [F.lit(modality).alias("modality"), "item_id", "page", empty("caption")]
+    if modality == "table":
+        return items.select(*base, "text")
+    return items.select(*base, F.col("description").alias("text"), empty("chart_type"))
+
+
+def with_records(hits: DataFrame, records: DataFrame, key: str = "item_id") -> DataFrame:
+    """hits with the whole record of each item; a hit without one keeps its row, with nulls."""
+    return hits.join(records, key, "left")

@@ -43,6 +43,40 @@ def multimodal_prompt(question: Column, texts: Column, tables: Column, images: C
     return F.when(body == "", F.concat(F.lit("Question: "), question, F.lit("\n\nNo relevant context was found."))).otherwise(F.concat(F.lit("CONTEXT:\n"), body, F.lit("\n\nQuestion: "), question, F.lit("\n\nAnswer:")))
 
 
+def item_body(kind: str) -> Column:
+    """A table (kind Table) or figure (kind Figure) under a head of its id and page, its type and caption if it has any; columns item_id, page, chart_type, caption, text."""
+    some = lambda before, c, after="": F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(before), F.col(c), F.lit(after))).otherwise("")
+    head = [F.lit(f"[{kind}: "), F.coalesce("item_id", F.lit("unknown")), F.lit(", Page "), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.lit("]")]
+    return F.concat(*head, some(" (Type: ", "chart_type", ")"), some("\nCaption: ", "caption"), F.lit("\n"), F.col("text"))
+
+
+def item_prompt(kind: str, question: Column, bodies: Column) -> Column:
+    """A question about tables or figures (``kind``: Table, Figure); one without any says so."""
+    many = kind.lower() + "s"
+    body = F.concat(F.lit(f"Answer from these {many} only. Name the {kind.lower()}, its page and the values used; if they do not hold the answer, say so.\n\n{many.upper()}:\n"), F.array_join(bodies, "\n\n---\n\n"), F.lit("\n\nQuestion: "), question, F.lit("\n\nAnswer:"))
+    none = F.concat(F.lit("Question: "), question, F.lit(f"\n\nNo {many} were retrieved.\n\nAnswer: I cannot answer this question, as no {many} were found."))
+    return F.when(F.size(F.coalesce(bodies, F.array().cast("array<string>"))) > 0, body).otherwise(none)
+
+
+def two_digits(value: Column) -> Column:
+    return F.format_string("%.2f", value)
+
+
+def page_prompt(question: Column, pages: Column) -> Column:
+    """A question about page images; pages: array<struct<page, confidence, patches: array<struct<x, y, score>>>>, at most three patches of each are named."""
+
+    def region(p: Column) -> Column:
+        return F.concat(F.lit("\n  - Region at ("), two_digits(p["x"]), F.lit(", "), two_digits(p["y"]), F.lit("), score: "), two_digits(p["score"]))
+
+    def shown(c: Column) -> Column:
+        n = F.size(c["patches"])
+        parts = F.concat(F.lit("\n  - "), n.cast("string"), F.lit(" relevant region(s) identified"), F.array_join(F.transform(F.slice(c["patches"], 1, 3), region), ""))
+        return F.concat(F.lit("\nPage "), c["page"].cast("string"), F.lit(" (confidence: "), two_digits(c["confidence"]), F.lit("):"), F.when(n > 0, parts).otherwise(""))
+
+    head = F.concat(F.lit("QUERY: "), question, F.lit("\n\n"), F.size(pages).cast("string"), F.lit(" page image(s) follow, with their most relevant regions. Answer from them, cite page and place, or say NOT FOUND IN VISUAL CONTEXT.\n\nRELEVANT PAGES:\n"))
+    return F.concat(head, F.array_join(F.transform(pages, shown), ""))
+
+
 def as_json(lists: DataFrame, columns: list[str]) -> DataFrame:
     """query_id and its ranked rows as one JSON array."""
     rows = F.array_sort(F.collect_list(F.struct("rank", F.struct(*columns).alias("row"))))

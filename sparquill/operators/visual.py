@@ -45,24 +45,69 @@ def colour(score: Column) -> Column:
 
 
 def attribution(pages: DataFrame, max_pages: int = 5, max_patches: int = 10) -> DataFrame:
-    """Ranked pages with their top patches: query_id, page_rank, page, patch_rank, patch_id, score, colour."""
+    """Ranked pages with their top patches: query_id, page_rank, doc_id, page, patch_rank, patch_id, score, colour."""
     top = ranked(pages, [F.desc("score"), F.col("doc_id"), F.col("page")], name="page_rank").where(F.col("page_rank") <= max_pages)
-    rows = top.select("query_id", "page_rank", "page", F.explode("top_patches").alias("t")).where(F.col("t.n") <= max_patches)
-    return rows.select("query_id", "page_rank", "page", F.col("t.n").alias("patch_rank"), F.col("t.patch_id").alias("patch_id"), F.round("t.score", 6).alias("score"), colour(F.col("t.score")).alias("colour"))
+    rows = top.select("query_id", "page_rank", "doc_id", "page", F.explode("top_patches").alias("t")).where(F.col("t.n") <= max_patches)
+    return rows.select("query_id", "page_rank", "doc_id", "page", F.col("t.n").alias("patch_rank"), F.col("t.patch_id").alias("patch_id"), F.round("t.score", 6).alias("score"), colour(F.col("t.score")).alias("colour"))
 
 
 def heat(patches: DataFrame, cols: int = 16, rows: int = 12) -> DataFrame:
-    """Highest score of each grid cell, as a share of the page's highest: query_id, page, cell_row (by y), cell_col (by x), heat."""
+    """Highest score of each grid cell, as a share of the page's highest: query_id, doc_id, page, cell_row (by y), cell_col (by x), heat."""
     cell = lambda v, n: F.least(F.floor(F.col(v) * n), F.lit(n - 1)).cast("bigint")
-    cells = patches.withColumns({"cell_row": cell("y", rows), "cell_col": cell("x", cols)}).groupBy("query_id", "page", "cell_row", "cell_col").agg(F.max("score").alias("score"))
-    most = F.max("score").over(Window.partitionBy("query_id", "page"))
-    return cells.select("query_id", "page", "cell_row", "cell_col", F.round(F.when(most > 0, F.col("score") / most).otherwise(F.col("score")), 6).alias("heat"))
+    cells = patches.withColumns({"cell_row": cell("y", rows), "cell_col": cell("x", cols)}).groupBy("query_id", "doc_id", "page", "cell_row", "cell_col").agg(F.max("score").alias("score"))
+    most = F.max("score").over(Window.partitionBy("query_id", "doc_id", "page"))
+    return cells.select("query_id", "doc_id", "page", "cell_row", "cell_col", F.round(F.when(most > 0, F.col("score") / most).otherwise(F.col("score")), 6).alias("heat"))
+
+
+def thresholded(patches: DataFrame, least: float = 0.0) -> DataFrame:
+    """The retrieved patches of a score of ``least`` or more."""
+    return patches.where(F.col("score") >= least)
 
 
 def contexts(pages: DataFrame, images: DataFrame, most: int = 3) -> DataFrame:
-    """The first ``most`` pages, those without an image left out: query_id, page_rank, page, confidence."""
+    """The first ``most`` pages, those without an image (doc_id, page) left out: query_id, page_rank, doc_id, page, confidence."""
     top = ranked(pages, [F.desc("score"), F.col("doc_id"), F.col("page")], name="page_rank").where(F.col("page_rank") <= most)
-    return top.join(images.select("page").distinct(), "page", "left_semi").select("query_id", "page_rank", "page", F.col("score").alias("confidence"))
+    return top.join(images.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi").select("query_id", "page_rank", "doc_id", "page", F.col("score").alias("confidence"))
+
+
+def confidence(found: DataFrame) -> DataFrame:
+    """Mean confidence of the contexts of each question: query_id, n_contexts, confidence."""
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_contexts"), F.round(F.avg("confidence") + 1e-12, 6).alias("confidence"))
+
+
+def retrieve(patches: DataFrame, queries: DataFrame, top_pages: int = 5, top_patches: int = 50, aggregation: str = "max", least: float | None = None) -> DataFrame:
+    """The whole of visual retrieval: patches(doc_id, page, patch_id, embedding), queries(query_id, vector) to ranked pages.
+
+    query_id, page_rank, doc_id, page, score, num_relevant, top_patches, and how much was searched: n_patches, n_pages.
+    ``least``: threshold of patches before pages are scored. Without patches there are no rows.
+    """
+    from . import dense
+
+    found = dense.search(patches.select(F.col("patch_id").alias("vec_id"), "embedding"), queries, top_patches, "cosine").withColumnRenamed("vec_id", "patch_id")
+    found = found.join(patches.select("patch_id", "doc_id", "page"), "patch_id")
+    pages = page_scores(found if least is None else thresholded(found, least), aggregation)
+    top = ranked(pages, [F.desc("score"), F.col("doc_id"), F.col("page")], name="page_rank").where(F.col("page_rank") <= top_pages)
+    searched = patches.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n_patches"), F.count(F.lit(1)).alias("n_pages"))
+    return top.crossJoin(F.broadcast(searched)).select("query_id", "page_rank", "doc_id", "page", "score", "num_relevant", "top_patches", "n_patches", "n_pages")  # one row
+
+
+def page_patches(patches: DataFrame, doc_id, page: int) -> DataFrame:
+    return patches.where((F.col("doc_id") == doc_id) & (F.col("page") == page))
+
+
+def patch(patches: DataFrame, patch_id) -> DataFrame:
+    """The patch of an id: one row, or none."""
+    return patches.where(F.col("patch_id") == patch_id).limit(1)
+
+
+def embedded(patches: DataFrame, describe, embed, dims: int) -> DataFrame:
+    """patches with embedding and failed: ``describe`` and ``embed`` are providers (a column to a column).
+
+    What can't be described, or gets a vector of another length, has failed: its vector is zero, so it is near nothing.
+    """
+    rows = patches.withColumn("embedding", embed(describe).cast("array<double>")).withColumn("failed", describe.isNull())
+    failed = F.col("failed") | F.coalesce(F.size("embedding") != dims, F.lit(True))
+    return rows.withColumn("failed", failed).withColumn("embedding", F.when(F.col("failed"), F.array_repeat(F.lit(0.0), dims)).otherwise(F.col("embedding")))
 
 
 def summary(query: str, pages: list[dict], searched: int) -> str:

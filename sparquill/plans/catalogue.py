@@ -122,7 +122,7 @@ scored AS (SELECT query_id, doc_id, round(sum(ln((n - df + 0.5::double) / (df +
 bm AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)"""
 
 
-def sql_dense(metric: str, vectors: str = "embeddings", questions: str = "SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 10") -> str:
+def sql_dense(metric: str, vectors: str = "embeddings", questions: str = "SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0") -> str:
     a, b = "q.v::double[]", "e.embedding::double[]"
     score = {"cosine": f"list_cosine_similarity({a}, {b})", "l2": f"-greatest(list_inner_product({a}, {a}) + list_inner_product({b}, {b}) - 2 * list_inner_product({a}, {b}), 0)"}[metric]
     return f"""
@@ -156,8 +156,9 @@ def index(spark: SparkSession, d: str) -> bm25.Bm25Index:
     return bm25.build(table(spark, d, "documents"))
 
 
-def first_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+def asked_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The queries of searches over vectors: every id divisible by 50."""
+    return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def retriever(spark: SparkSession, d: str) -> Retriever:
@@ -216,21 +217,21 @@ def quality_filtered_bm25(spark, d):
 
 @query(f"WITH {sql_dense('l2')} SELECT query_id, rank, vec_id, -score + 0.0 AS distance, round(1 / (1 - score), 6) AS similarity FROM de WHERE rank <= 5")
 def dense_l2_topk(spark, d):
-    return dense.with_similarity(dense.search(table(spark, d, "embeddings"), first_vectors(spark, d), 5, "l2"))
+    return dense.with_similarity(dense.search(table(spark, d, "embeddings"), asked_vectors(spark, d), 5, "l2"))
 
 
 @query(f"WITH {sql_dense('cosine')} SELECT query_id, rank, vec_id, score AS cosine FROM de WHERE rank <= 5")
 def dense_cosine_topk(spark, d):
-    return dense.search(table(spark, d, "embeddings"), first_vectors(spark, d), 5, "cosine").withColumnRenamed("score", "cosine")
+    return dense.search(table(spark, d, "embeddings"), asked_vectors(spark, d), 5, "cosine").withColumnRenamed("score", "cosine")
 
 
 @query(f"WITH {sql_dense('l2')} SELECT query_id, rank, vec_id, round(1.0::double / rank, 6) AS score FROM de WHERE rank <= 5")
 def dense_rank_scores(spark, d):
-    found = dense.search(table(spark, d, "embeddings"), first_vectors(spark, d), 5, "l2").withColumn("score", F.lit(None).cast("double"))
+    found = dense.search(table(spark, d, "embeddings"), asked_vectors(spark, d), 5, "l2").withColumn("score", F.lit(None).cast("double"))
     return dense.with_rank_scores(found)
 
 
-_OPEN = f"WITH {sql_dense('l2', KNOWN)}, ok AS (SELECT de.query_id, de.vec_id, de.score, row_number() OVER (PARTITION BY de.query_id ORDER BY de.rank) AS r FROM de JOIN ({NUMBERED}) p ON p.doc_id = de.vec_id WHERE lang = 'en' AND page <= 20 AND de.rank <= %s) SELECT query_id, r AS rank, vec_id AS doc_id, round(1 / (1 - score), 6) AS score FROM ok WHERE r <= 5"
+_OPEN = f"WITH {sql_dense('l2', KNOWN)}, ok AS (SELECT de.query_id, de.vec_id, de.score, row_number() OVER (PARTITION BY de.query_id ORDER BY de.rank) AS r FROM de JOIN ({NUMBERED}) p ON p.doc_id = de.vec_id WHERE lang = 'en' AND page <= 20 AND de.rank <= MOST) SELECT query_id, r AS rank, vec_id AS doc_id, round(1 / (1 - score), 6) AS score FROM ok WHERE r <= 5"
 
 
 def _filtered(spark, d, mode: str) -> DataFrame:
@@ -238,17 +239,17 @@ def _filtered(spark, d, mode: str) -> DataFrame:
     if mode == "pre":
         docs = docs.where("lang = 'en'")
         config = cf.RetrievalConfig(filter_mode="pre").with_metadata_filter(page_end=20)
-        return Retriever(docs, table(spark, d, "embeddings")).retrieve(first_vectors(spark, d), config)
-    found = Retriever(docs, table(spark, d, "embeddings")).retrieve(first_vectors(spark, d), cf.RetrievalConfig(top_k=15))
+        return Retriever(docs, table(spark, d, "embeddings")).retrieve(asked_vectors(spark, d), config)
+    found = Retriever(docs, table(spark, d, "embeddings")).retrieve(asked_vectors(spark, d), cf.RetrievalConfig(top_k=15))
     return filters.post_filter(found, docs.drop("text"), (F.col("lang") == "en") & filters.MetadataFilter(page_end=20).condition(), 5).select("query_id", "rank", "doc_id", "score")
 
 
-@query(_OPEN % 15)
+@query(_OPEN.replace("MOST", "15"))
 def dense_filtered_post(spark, d):
     return _filtered(spark, d, "post")
 
 
-@query(_OPEN % 1000000000)
+@query(_OPEN.replace("MOST", "1000000000"))
 def dense_filtered_pre(spark, d):
     return _filtered(spark, d, "pre")
 
@@ -470,7 +471,7 @@ def query_decompose(spark, d):
     return rows.select("conv_id", "turn", "p.hop", "p.sub_query")
 
 
-_DOUBLE = "SELECT a.item_id AS query_id, left(a.text, 80) || ' and ' || left(b.text, 80) AS text FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 WHERE a.item_id < 10"
+_DOUBLE = "SELECT a.item_id AS query_id, a.text || ' and ' || b.text AS text FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1"
 _HOPS = f"SELECT query_id, i - 1 AS hop, parts[i] AS text FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT query_id, CASE WHEN {_COMPLEX} THEN {_sql_decomposed('text')} ELSE [text] END AS parts FROM ({_DOUBLE})))"
 
 
@@ -479,7 +480,7 @@ _HOPS = f"SELECT query_id, i - 1 AS hop, parts[i] AS text FROM (SELECT *, unnest
 )
 def multihop_round_robin(spark, d):
     b = table(spark, d, "benchmark")
-    pairs = b.where("item_id < 10").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("x")).join(b.select((F.col("item_id") - 1).alias("query_id"), F.substring("text", 1, 80).alias("y")), "query_id")
+    pairs = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("x")).join(b.select((F.col("item_id") - 1).alias("query_id"), F.col("text").alias("y")), "query_id")
     asked = pairs.select("query_id", F.concat("x", F.lit(" and "), "y").alias("text"))
     ix = index(spark, d)
     return multihop.search(asked, table(spark, d, "documents"), lambda q, k: bm25.search(ix, q, k))
@@ -487,49 +488,102 @@ def multihop_round_robin(spark, d):
 
 # ---------------------------------------------------------------- patches
 
-_PATCHES = f"{sql_dense('cosine')}, pt AS (SELECT query_id, vec_id // 4 AS page, vec_id AS patch_id, score, rank FROM de WHERE rank <= 50), pn AS (SELECT *, row_number() OVER (PARTITION BY query_id, page ORDER BY score DESC, patch_id) AS n, max(score) OVER (PARTITION BY query_id, page) AS most FROM pt)"
+# Documents of ten pages of four patches.
+_PATCHES = f"{sql_dense('cosine')}, pt AS (SELECT query_id, vec_id // 40 AS doc_id, vec_id // 4 % 10 AS page, vec_id AS patch_id, score, rank FROM de WHERE rank <= 50), pn AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, page ORDER BY score DESC, patch_id) AS n, max(score) OVER (PARTITION BY query_id, doc_id, page) AS most FROM pt)"
+
+
+def all_patches(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("vec_id")
+    return table(spark, d, "embeddings").select(F.floor(v / 40).alias("doc_id"), (F.floor(v / 4) % 10).alias("page"), v.alias("patch_id"), "embedding")
 
 
 def top_patches(spark: SparkSession, d: str) -> DataFrame:
-    found = dense.search(table(spark, d, "embeddings"), first_vectors(spark, d), 50, "cosine")
-    return found.select("query_id", F.lit(0).cast("bigint").alias("doc_id"), F.floor(F.col("vec_id") / 4).alias("page"), F.col("vec_id").alias("patch_id"), "score", "rank")
+    found = dense.search(table(spark, d, "embeddings"), asked_vectors(spark, d), 50, "cosine")
+    return found.select("query_id", F.floor(F.col("vec_id") / 40).alias("doc_id"), (F.floor(F.col("vec_id") / 4) % 10).alias("page"), F.col("vec_id").alias("patch_id"), "score", "rank")
 
 
-@query(f"WITH {_PATCHES} SELECT query_id, rank, page, patch_id, score FROM pt")
+@query(f"WITH {_PATCHES} SELECT query_id, rank, doc_id, page, patch_id, score FROM pt")
 def patch_topk(spark, d):
-    return top_patches(spark, d).select("query_id", "rank", "page", "patch_id", "score")
+    return top_patches(spark, d).select("query_id", "rank", "doc_id", "page", "patch_id", "score")
+
 
+@query(f"WITH {_PATCHES} SELECT query_id, doc_id, page, patch_id, score FROM pt WHERE score >= 0.25")
+def patch_threshold(spark, d):
+    return visual.thresholded(top_patches(spark, d), 0.25).select("query_id", "doc_id", "page", "patch_id", "score")
 
-@query(f"WITH {_PATCHES}" + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT query_id, page, '{a}' AS agg, round({e} + 1e-12, 6) AS score, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score, count_if(score >= 0.5 * most)::bigint AS num_relevant FROM pn GROUP BY query_id, page" for a, e in (("max", "max(score)"), ("mean", "avg(score)"), ("sum", "sum(score)"), ("weighted", "sum(score / n)"))) + ")")
+
+@query(f"WITH {_PATCHES}" + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT query_id, doc_id, page, '{a}' AS agg, round({e} + 1e-12, 6) AS score, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score, count_if(score >= 0.5 * most)::bigint AS num_relevant FROM pn GROUP BY query_id, doc_id, page" for a, e in (("max", "max(score)"), ("mean", "avg(score)"), ("sum", "sum(score)"), ("weighted", "sum(score / n)"))) + ")")
 def patch_page_scores(spark, d):
     patches, out = top_patches(spark, d), None
     for a in visual.AGGREGATIONS:
-        part = visual.page_scores(patches, a).select("query_id", "page", F.lit(a).alias("agg"), "score", "mean_score", "max_score", "num_relevant")
+        part = visual.page_scores(patches, a).select("query_id", "doc_id", "page", F.lit(a).alias("agg"), "score", "mean_score", "max_score", "num_relevant")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 _COLOUR = "CASE WHEN score > 0.7 THEN 'green' WHEN score > 0.5 THEN 'yellow' WHEN score > 0.3 THEN 'orange' ELSE 'red' END"
-_TOP_PAGES = "pg AS (SELECT query_id, page, row_number() OVER (PARTITION BY query_id ORDER BY most DESC, page) AS page_rank, most FROM (SELECT DISTINCT query_id, page, most FROM pn))"
+_TOP_PAGES = "pg AS (SELECT query_id, doc_id, page, row_number() OVER (PARTITION BY query_id ORDER BY most DESC, doc_id, page) AS page_rank, most FROM (SELECT DISTINCT query_id, doc_id, page, most FROM pn))"
 
 
-@query(f"WITH {_PATCHES}, {_TOP_PAGES} SELECT query_id, page_rank, page, n AS patch_rank, patch_id, score, {_COLOUR} AS colour FROM pn JOIN pg USING (query_id, page) WHERE page_rank <= 5 AND n <= 3")
+@query(f"WITH {_PATCHES}, {_TOP_PAGES} SELECT query_id, page_rank, doc_id, page, n AS patch_rank, patch_id, score, {_COLOUR} AS colour FROM pn JOIN pg USING (query_id, doc_id, page) WHERE page_rank <= 5 AND n <= 3")
 def patch_attribution(spark, d):
     return visual.attribution(visual.page_scores(top_patches(spark, d)))
 
 
-@query(f"WITH {_PATCHES}, {_TOP_PAGES} SELECT query_id, page_rank, page, most AS confidence FROM pg WHERE page_rank <= 3 AND page % 3 <> 0")
-def visual_contexts(spark, d):
-    images = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("page")).where("page % 3 <> 0")
+@query(f"WITH {_PATCHES}, {_TOP_PAGES} SELECT query_id, page_rank, doc_id, page, most AS score, (SELECT count(*) FROM embeddings) AS n_patches, (SELECT count(DISTINCT vec_id // 4) FROM embeddings) AS n_pages FROM pg WHERE page_rank <= 5")
+def visual_retrieve(spark, d):
+    return visual.retrieve(all_patches(spark, d), asked_vectors(spark, d)).select("query_id", "page_rank", "doc_id", "page", "score", "n_patches", "n_pages")
+
+
+_CONTEXTS = f"{_PATCHES}, {_TOP_PAGES}, cx AS (SELECT query_id, page_rank, doc_id, page, most AS confidence FROM pg WHERE page_rank <= 3 AND (doc_id * 10 + page) % 3 <> 0)"
+
+
+def found_contexts(spark: SparkSession, d: str) -> DataFrame:
+    images = all_patches(spark, d).where("(doc_id * 10 + page) % 3 <> 0")
     return visual.contexts(visual.page_scores(top_patches(spark, d)), images)
 
 
-@query(f"WITH {_PATCHES}, c AS (SELECT query_id, page, least(floor((patch_id % 2) * 0.5 * 16), 15)::bigint AS cell_col, least(floor((patch_id // 2 % 2) * 0.5 * 12), 11)::bigint AS cell_row, max(score) AS score FROM pt GROUP BY ALL), m AS (SELECT *, max(score) OVER (PARTITION BY query_id, page) AS most FROM c) SELECT query_id, page, cell_row, cell_col, round(CASE WHEN most > 0 THEN score / most ELSE score END, 6) AS heat FROM m")
+@query(f"WITH {_CONTEXTS} SELECT * FROM cx")
+def visual_contexts(spark, d):
+    return found_contexts(spark, d)
+
+
+@query(f"WITH {_CONTEXTS} SELECT query_id, count(*) AS n_contexts, round(avg(confidence) + 1e-12, 6) AS confidence FROM cx GROUP BY query_id")
+def visual_confidence(spark, d):
+    return visual.confidence(found_contexts(spark, d))
+
+
+_DIGITS = "printf('%.2f', {} + 1e-9)"
+_PAGE_PART = f"'\nPage ' || page || ' (confidence: ' || {_DIGITS.format('confidence')} || '):\n  - ' || len(t) || ' relevant region(s) identified' || array_to_string(list_transform(t, lambda p: '\n  - Region at (' || {_DIGITS.format('(p.patch_id % 2) * 0.5::double')} || ', ' || {_DIGITS.format('(p.patch_id // 2 % 2) * 0.5::double')} || '), score: ' || {_DIGITS.format('p.score')}), '')".replace("\n", "' || chr(10) || '")
+
+
+@query(
+    f"WITH {_CONTEXTS}, w AS (SELECT query_id, page_rank, page, confidence, list({{'patch_id': patch_id, 'score': score}} ORDER BY n) AS t FROM cx JOIN pn USING (query_id, doc_id, page) WHERE n <= 3 GROUP BY ALL), v AS (SELECT query_id, count(*) AS c, string_agg({_PAGE_PART}, '' ORDER BY page_rank) AS body FROM w GROUP BY query_id) SELECT query_id, 'QUERY: item ' || query_id || chr(10) || chr(10) || c || ' page image(s) follow, with their most relevant regions. Answer from them, cite page and place, or say NOT FOUND IN VISUAL CONTEXT.' || chr(10) || chr(10) || 'RELEVANT PAGES:' || chr(10) || body AS prompt FROM v"
+)
+def visual_prompts(spark, d):
+    scored = visual.page_scores(top_patches(spark, d))
+    rows = found_contexts(spark, d).join(scored.select("query_id", "doc_id", "page", "top_patches"), ["query_id", "doc_id", "page"])
+    place = lambda p: F.struct((p["patch_id"] % 2 * 0.5).alias("x"), (F.floor(p["patch_id"] / 2) % 2 * 0.5).alias("y"), p["score"].alias("score"))
+    shown = F.struct("page", "confidence", F.transform("top_patches", place).alias("patches"))
+    listed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("page_rank", shown.alias("p")))).alias("r"))
+    return listed.select("query_id", prompts.page_prompt(F.concat(F.lit("item "), F.col("query_id").cast("string")), F.transform("r", lambda x: x["p"])).alias("prompt"))
+
+
+@query(f"WITH {_PATCHES}, c AS (SELECT query_id, doc_id, page, least(floor((patch_id % 2) * 0.5 * 16), 15)::bigint AS cell_col, least(floor((patch_id // 2 % 2) * 0.5 * 12), 11)::bigint AS cell_row, max(score) AS score FROM pt GROUP BY ALL), m AS (SELECT *, max(score) OVER (PARTITION BY query_id, doc_id, page) AS most FROM c) SELECT query_id, doc_id, page, cell_row, cell_col, round(CASE WHEN most > 0 THEN score / most ELSE score END, 6) AS heat FROM m")
 def patch_heat(spark, d):
     patches = top_patches(spark, d).withColumns({"x": F.col("patch_id") % 2 * F.lit(0.5), "y": F.floor(F.col("patch_id") / 2) % 2 * F.lit(0.5)})
     return visual.heat(patches)
 
 
+@query(f"SELECT doc_id, page, patch_id, failed, list_sum(embedding) AS n_terms, embedding[1] AS first_bucket FROM (SELECT doc_id // 40 AS doc_id, doc_id // 4 % 10 AS page, doc_id AS patch_id, text IS NULL OR length(text) < 400 AS failed, CASE WHEN failed THEN list_transform(range(0, 32), lambda i: 0::double) ELSE {_BUCKETS.format(sql_tokens('text'))} END AS embedding FROM documents)")
+def patch_embeddings(spark, d):
+    """Texts stand for the descriptions of patches; short ones for those that can't be described."""
+    rows = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 40).alias("doc_id"), (F.floor(F.col("doc_id") / 4) % 10).alias("page"), F.col("doc_id").alias("patch_id"), "text")
+    described = F.when(F.length("text") >= 400, F.col("text"))
+    out = visual.embedded(rows, described, lambda c: F.when(c.isNotNull(), vx.hashed_embedding(tx.tokens(c))), 32)
+    return out.select("doc_id", "page", "patch_id", "failed", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("n_terms"), F.col("embedding")[0].alias("first_bucket"))
+
+
 _SIZES = [(0, 1, 100, 200), (0, 2, 333, 501), (1, 1, 1240, 1754)]
 
 
@@ -602,6 +656,43 @@ def modality_mixed(spark, d):
     return multimodal.combine(text, dense_(None, 3), dense_(r.docs.where("doc_id % 2 = 0"), 2))
 
 
+_ITEMS = [("t1", 4, "Loans by year", None, "a | b"), ("t2", None, None, None, "c | d"), ("f1", 7, "Growth", "bar", "Bars that grow"), ("f2", 8, None, None, "A map"), (None, 9, "", "", "no id")]
+_ITEM = "'[{kind}: ' || coalesce(item_id, 'unknown') || ', Page ' || coalesce(page::varchar, '?') || ']' || CASE WHEN coalesce(chart_type, '') <> '' THEN ' (Type: ' || chart_type || ')' ELSE '' END || CASE WHEN coalesce(caption, '') <> '' THEN chr(10) || 'Caption: ' || caption ELSE '' END || chr(10) || text"
+_ITEM_VALUES = values(_ITEMS, "item_id, page, caption, chart_type, text")
+
+
+def _items(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_ITEMS, "item_id string, page bigint, caption string, chart_type string, text string")
+
+
+def _item_sql(kind: str) -> str:
+    many = kind.lower() + "s"
+    return f"SELECT '{kind}' AS kind, 'Answer from these {many} only. Name the {kind.lower()}, its page and the values used; if they do not hold the answer, say so.' || chr(10) || chr(10) || '{many.upper()}:' || chr(10) || string_agg({_ITEM.format(kind=kind)}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY text) || chr(10) || chr(10) || 'Question: How much?' || chr(10) || chr(10) || 'Answer:' AS prompt FROM {_ITEM_VALUES} UNION ALL SELECT '{kind}', 'Question: How much?' || chr(10) || chr(10) || 'No {many} were retrieved.' || chr(10) || chr(10) || 'Answer: I cannot answer this question, as no {many} were found.'"
+
+
+@query(_item_sql("Table") + " UNION ALL " + _item_sql("Figure"))
+def item_prompts(spark, d):
+    out = None
+    for kind in ("Table", "Figure"):
+        bodies = _items(spark).select("text", prompts.item_body(kind).alias("body")).agg(F.transform(F.array_sort(F.collect_list(F.struct("text", "body"))), lambda x: x["body"]).alias("bodies"))
+        rows = bodies.unionByName(bodies.select(F.lit(None).cast("array<string>").alias("bodies")))
+        part = rows.select(F.lit(kind).alias("kind"), prompts.item_prompt(kind, F.lit("How much?"), F.col("bodies")).alias("prompt"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"SELECT 'table' AS modality, item_id, page::bigint AS page, coalesce(caption, '') AS caption, text, NULL AS chart_type FROM {_ITEM_VALUES} UNION ALL SELECT 'image', item_id, page::bigint, coalesce(caption, ''), text, coalesce(chart_type, '') FROM {_ITEM_VALUES}")
+def items_as_documents(spark, d):
+    items = _items(spark)
+    return multimodal.as_documents(items, "table").unionByName(multimodal.as_documents(items.withColumnRenamed("text", "description"), "image"), allowMissingColumns=True)
+
+
+@query(f"WITH {sql_bm25()}, docs AS (SELECT * FROM documents WHERE doc_id % 3 <> 0) SELECT query_id, rank, bm.doc_id, lang, source, n_chars FROM bm LEFT JOIN docs USING (doc_id) WHERE rank <= 5")
+def hits_with_records(spark, d):
+    records = table(spark, d, "documents").where("doc_id % 3 <> 0").select("doc_id", "lang", "source", "n_chars")
+    return multimodal.with_records(bm25.search(index(spark, d), questions(spark, d), 5).select("query_id", "rank", "doc_id"), records, "doc_id")
+
+
 _IMAGES = [(1, 1, 11, "[FIGURE] Page 1\nContact information, tel: 1"), (1, 2, 12, "Bar chart of climate investment"), (1, 3, 13, "Income graph"), (2, 1, 21, "Image from page"), (2, 2, 22, "Line chart of income"), (2, 3, 23, "Image from financial report with growth"), (3, 1, 31, "Signature of the president"), (3, 2, 32, "Deloitte logo"), (4, 1, 41, "Managing director"), (4, 2, 42, "Loan volume trend"), (4, 3, 43, "Balance")]
 _BOILER = f"(lower(description) <> '' AND ({sql_any('lower(description)', [p.lower() for p in tx.BOILERPLATE])} OR (length(description) < 150 AND {sql_any('lower(description)', tx.GENERIC)} AND NOT {sql_any('lower(description)', tx.SUBSTANTIVE)})))"
 
@@ -749,6 +840,23 @@ def judge_selection(spark, d):
     return rows.withColumn("selected", evaluate.is_judged(F.col("content_type")))
 
 
+_VERDICTS = [(1, "combination", '{"score": 0.75, "reasoning": "good"}'), (2, "image", "no json"), (3, "image", None), (4, "text", '{"score": 1.0, "reasoning": "good"}'), (5, "combination", '{"reasoning": "no score"}'), (6, None, None)]
+
+
+@query(f"SELECT id::bigint AS id, CASE WHEN c THEN coalesce(score, 0) END AS judge_score, CASE WHEN c THEN CASE WHEN score IS NULL THEN 'Judge error' ELSE reasoning END END AS judge_reasoning FROM (SELECT id, coalesce(type IN ('combination', 'image', 'combination (table and text)'), false) AS c, CASE WHEN json_valid(v) THEN (v::json ->> 'score')::double END AS score, CASE WHEN json_valid(v) THEN v::json ->> 'reasoning' END AS reasoning FROM {values(_VERDICTS, 'id, type, v')})")
+def judge_scores(spark, d):
+    rows = spark.createDataFrame(_VERDICTS, "id bigint, content_type string, v string")
+    return evaluate.judged(rows, F.col("v")).select("id", "judge_score", "judge_reasoning")
+
+
+@query(f"WITH {sql_bm25()}, c AS (SELECT query_id, list(text ORDER BY rank) AS contexts, list(score ORDER BY rank) AS scores FROM bm JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY ALL) SELECT item_id AS query_id, coalesce(len(contexts), 0) AS n_contexts, coalesce(list_sum(list_transform(contexts, lambda x: length(x))), 0)::bigint AS n_chars, scores[1] AS best, CASE WHEN contexts IS NULL THEN '' ELSE left(contexts[1], 300) || CASE WHEN length(contexts[1]) > 300 THEN '...' ELSE '' END END AS answer FROM benchmark LEFT JOIN c ON item_id = query_id")
+def eval_samples(spark, d):
+    found = bm25.search(index(spark, d), questions(spark, d), 3)
+    rows = evaluate.samples(found, table(spark, d, "documents"), questions(spark, d).withColumnRenamed("text", "question"), prompts.extractive, 3)
+    n_chars = F.aggregate("contexts", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
+    return rows.select("query_id", F.size("contexts").cast("bigint").alias("n_contexts"), n_chars.alias("n_chars"), F.get("scores", F.lit(0)).alias("best"), "answer")
+
+
 @query("SELECT id::bigint AS id, least(1.0::double, greatest(0.0::double, v::double)) AS score, round(a::double / greatest(v::double, 0.1), 6) AS speedup FROM (VALUES (1, 1.5, 20), (2, -0.5, 30), (3, 0.25, 40)) t(id, v, a)")
 def clamped_scores(spark, d):
     rows = spark.createDataFrame([(1, 1.5, 20), (2, -0.5, 30), (3, 0.25, 40)], "id bigint, v double, a bigint")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 
 from ..operators.filters import MetadataFilter
 
@@ -51,6 +51,23 @@ class RetrievalConfig:
         return replace(self, mode="hybrid", hybrid=HybridConfig(dense_weight, sparse_weight))
 
 
+@dataclass(frozen=True)
+class Settings:
+    """Where things lie, by default below one folder; no setting is required."""
+
+    dense_kind: str = "parquet"
+    dense_path: str = "index/dense"
+    sparse_path: str = "index/bm25"
+    artifacts: str = "artifacts"
+    samples: str = "evaluation"
+
+    @classmethod
+    def load(cls, environ: dict[str, str], folder: str = ".", prefix: str = "SPARQUILL_") -> Settings:
+        """Settings of an environment, as SPARQUILL_DENSE_PATH; blank ones count as unset, relative paths are below ``folder``."""
+        given = {f: environ.get(prefix + f.upper(), "").strip() or d for f, d in ((f.name, f.default) for f in fields(cls))}
+        return cls(**{f: v if f == "dense_kind" or "://" in v or v.startswith("/") else f"{folder}/{v}" for f, v in given.items()})
+
+
 BASELINE = RetrievalConfig()
 RERANKED = RetrievalConfig().with_reranking()
 HYBRID = RetrievalConfig().with_hybrid()

@@ -242,3 +242,24 @@ def test_parsed_json_and_paths(spark):
     row = spark.createDataFrame([('{"a": 1}',), ("x",), (None,)], "b string").select(prompts.parsed(F.col("b"), "a int").alias("p")).collect()
     assert [(r.p.value.a if r.p.value else None, r.p.failed) for r in row] == [(1, False), (None, True), (None, True)]
     assert spark.range(1).select(prompts.first_existing(F.lit(None).cast("string"), F.lit(""), F.lit("x.png"))).first()[0] == "x.png"
+
+
+def test_page_lookups_and_failed_embeddings(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, 2, "p1", "a b"), (1, 3, "p2", None)], "doc_id bigint, page bigint, patch_id string, text string")
+    assert [r.patch_id for r in visual.page_patches(rows, 1, 3).collect()] == ["p2"]
+    assert visual.patch(rows, "p1").count() == 1 and visual.patch(rows, "none").count() == 0
+    out = visual.embedded(rows, F.col("text"), lambda c: F.when(c.isNotNull(), F.array(F.lit(1.0), F.lit(2.0))), 2).orderBy("page").collect()
+    assert [(r.failed, r.embedding) for r in out] == [(False, [1.0, 2.0]), (True, [0.0, 0.0])]
+    assert all(r.failed and r.embedding == [0.0] * 3 for r in visual.embedded(rows, F.col("text"), lambda c: F.array(F.lit(1.0)), 3).collect())
+
+
+def test_contexts_tell_documents_apart(spark):
+    pages = spark.createDataFrame([(1, 10, 3, 0.9), (1, 20, 3, 0.8)], "query_id bigint, doc_id bigint, page bigint, score double")
+    images = spark.createDataFrame([(20, 3)], "doc_id bigint, page bigint")
+    found = visual.contexts(pages, images)
+    assert [(r.doc_id, r.page_rank) for r in found.collect()] == [(20, 2)] and visual.confidence(found).first().confidence == 0.8
+    empty = spark.createDataFrame([], "doc_id bigint, page bigint, patch_id bigint, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0])], "query_id bigint, vector array<double>")
+    assert visual.retrieve(empty, asked).count() == 0

@@ -1,6 +1,10 @@
+from datetime import datetime
+
 import pytest
 
+from sparquill.operators import bm25
 from sparquill.operators.cache import CacheConfig
+from sparquill.plans.config import RetrievalConfig, Settings
 from sparquill.sources import files
 from sparquill.streaming import cache, traffic
 
@@ -28,6 +32,50 @@ def test_modalities(spark, tmp_path):
     assert [r.id for r in files.read_modality(spark, str(tmp_path / "m"), "image").collect()] == [2]
 
 
+def test_missing_modality_is_none(spark, tmp_path):
+    assert files.read_modality(spark, str(tmp_path / "none"), "image") is None
+
+
+def test_stores_by_kind(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red fox"), (2, "blue hen"), (3, "red hen")], "doc_id bigint, text string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
+    files.write_dense(docs, vectors, str(tmp_path / "dense"))
+    assert sorted(files.load_dense(spark, "parquet", str(tmp_path / "dense")).columns) == ["doc_id", "embedding", "text"]
+    with pytest.raises(ValueError):
+        files.load_dense(spark, "other", str(tmp_path / "dense"))
+    with pytest.raises(FileNotFoundError):
+        files.load_dense(spark, "parquet", str(tmp_path / "none"))
+    asked = spark.createDataFrame([(7, "red hen", [1.0, 0.1])], "query_id bigint, text string, vector array<double>")
+    alone = files.load_retriever(spark, "parquet", str(tmp_path / "dense"), str(tmp_path / "bm25"))
+    assert alone.index is None and alone.retrieve(asked).first().doc_id == 1
+    bm25.save(bm25.build(docs), str(tmp_path / "bm25"))
+    both = files.load_retriever(spark, "parquet", str(tmp_path / "dense"), str(tmp_path / "bm25"))
+    assert both.retrieve(asked, RetrievalConfig(mode="sparse")).first().doc_id == 3
+
+
+def test_sample_names_and_summary(spark, tmp_path):
+    at = datetime(2024, 5, 6, 7, 8, 9)
+    assert files.sample_name("a", 5, at=at) == "eval_samples_a_k5_20240506_070809"
+    assert files.sample_name("a", 5, "hybrid", True, at) == "eval_samples_a_k5_hybrid_reranked_20240506_070809"
+    runs = [{"config": {"k": 5}, "aggregated_metrics": {"faithfulness": 0.5}, "judge_avg_score": 0.25, "samples": [1, 2]}, {"config": {"k": 3}}]
+    files.write_summary(spark, runs, str(tmp_path / "x"))
+    rows = spark.read.json(str(tmp_path / "x")).collect()
+    assert {r.config.k: r.judge_avg_score for r in rows} == {"5": 0.25, "3": None} and "samples" not in rows[0].asDict()
+
+
+def test_extract_all(spark, tmp_path):
+    html = "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>"
+    pages = spark.createDataFrame([(1, "one", html, [("f1", "a map")]), (2, "two", None, [])], "page int, text string, html string, images array<struct<figure_id:string,description:string>>")
+    assert files.extract_all(pages, str(tmp_path / "a"), about={"title": "t"}) == {"text_pages": 2, "images": 1, "tables": 1}
+    assert files.extract_all(pages, str(tmp_path / "b"), skip_images=True, skip_tables=True) == {"text_pages": 2, "images": 0, "tables": 0}
+    assert not (tmp_path / "b" / "figures").exists() and spark.read.text(str(tmp_path / "a" / "metadata")).first().value == '{"title": "t"}'
+
+
+def test_settings():
+    s = Settings.load({"SPARQUILL_DENSE_PATH": " ", "SPARQUILL_SPARSE_PATH": "s3a://x/y", "SPARQUILL_SAMPLES": "runs"}, "/data")
+    assert (s.dense_path, s.sparse_path, s.samples, s.dense_kind) == ("/data/index/dense", "s3a://x/y", "/data/runs", "parquet")
+
+
 def test_vectors_and_samples(spark, tmp_path):
     files.write_vectors(spark.createDataFrame([(1, [3.0, 4.0])], "vec_id bigint, embedding array<float>"), str(tmp_path / "v"))
     assert spark.read.parquet(str(tmp_path / "v")).first().unit == [0.6, 0.8]
