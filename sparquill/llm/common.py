@@ -45,14 +45,14 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again, which cuts its lineage.
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder, in parts ``by`` a column if named, and read it again, which cuts its lineage.
 
     The table survives the loss of any executor. ``release`` deletes it.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/sparquill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     if not _written:
         atexit.register(release, spark)
     _written.append(path)

@@ -285,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     labels = labels.where("label in (0, 1)").select("key", "label").withColumn("__h", F.xxhash64(F.col("key").cast("string"), F.lit(5)))
     fifth = F.pmod("__h", F.lit(5)) == 0
     rest = labels.where(~fifth)
-    counts = common.stored(count(docs.join(common.small(rest), "key")), "counts")
+    counts = common.stored(count(docs.join(common.small(rest), "key")), "counts", by="kind")
     tables = spark.sparkContext.broadcast(ratios(counts))
     n = labels.where(fifth).count()
     share = F.pmod(F.xxhash64("__h"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, CURVE_ROWS / max(n, 1)))
