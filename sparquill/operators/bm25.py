@@ -69,8 +69,9 @@ def search(index: Bm25Index, queries: DataFrame, k: int = 5) -> DataFrame:
 
 
 def save(index: Bm25Index, path: str) -> None:
+    """Postings sorted by term, so that questions read the parts of their terms; frequencies are counted on what was written."""
     index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    index.df.write.mode("overwrite").parquet(f"{path}/df")
+    document_frequency(index.postings.sparkSession.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/df")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 

@@ -7,6 +7,8 @@ the log of questions.
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers, text as tx, vectors as vx
 from ..operators import bm25, cache, chunking, compare, dense, evaluate, filters, fusion, multihop, multimodal, pages, prompts, rerank, tables, visual
 from ..operators.ranking import few, top
+from ..session import delete, work_dir
 from ..streaming import traffic
 from . import config as cf
 from .retriever import Retriever
@@ -152,8 +155,24 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _forget(spark: SparkSession) -> None:
+    while _INDEXES and spark.sparkContext._jsc is not None:
+        delete(spark, _INDEXES.popitem()[1])
+
+
 def index(spark: SparkSession, d: str) -> bm25.Bm25Index:
-    return bm25.build(table(spark, d, "documents"))
+    """The index of a folder's documents, built and saved on first use in a session, and loaded from then on."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        if not _INDEXES:
+            atexit.register(_forget, spark)
+        path = f"{work_dir(spark)}/sparquill/bm25-{uuid.uuid4().hex}"
+        bm25.save(bm25.build(table(spark, d, "documents")), path)
+        _INDEXES[key] = path
+    return bm25.load(spark, _INDEXES[key])
 
 
 def asked_vectors(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -10,6 +12,26 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
+_own: dict[str, str] = {}
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables; a temporary one only where the session names none and runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="sparquill-")
+            atexit.register(shutil.rmtree, _own[app], True)
+        found = _own[app]
+    return found.rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def ship(spark: SparkSession) -> None:
