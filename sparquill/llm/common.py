@@ -10,8 +10,6 @@ Rules that all operators follow:
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,30 +19,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import delete, work_dir
+
 #: Rows that a Python worker turns into objects at a time.
 SLICE_ROWS = 256
 #: A table is broadcast only if it is stored and has no more rows and no more bytes on disk.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 _written: list[str] = []
-_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a temporary one only where the session names none and runs in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="sparquill-")
-        _own[spark.sparkContext.applicationId] = found
-    return found.rstrip("/")
-
-
 def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder, in parts ``by`` a column if named, and read it again, which cuts its lineage.
 
@@ -63,23 +51,18 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
-
-
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for df in tables:
         _written.remove(df._stored_at)
-        _delete(df.sparkSession, df._stored_at)
+        delete(df.sparkSession, df._stored_at)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every intermediate table of this session; call it once results are written."""
     if spark.sparkContext._jsc is not None:
         while _written:
-            _delete(spark, _written.pop())
+            delete(spark, _written.pop())
 
 
 def without(df: DataFrame, names: list[str]) -> list[str]:
