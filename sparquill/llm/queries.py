@@ -139,4 +139,29 @@ firsts AS (SELECT k, min(doc_id) AS first FROM runs WHERE n = 13 GROUP BY k),
 gone AS (SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS i FROM runs JOIN firsts USING (k) WHERE n = 13 AND first < doc_id),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (doc_id)""",
+    # Each window of an item with at most ``wrong`` substitutions holds one of ``wrong`` + 1 parts unchanged.
+    "op10_decontaminate": r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+items AS (SELECT item_id, ws, least(13, len(ws)) AS w, least(13, len(ws)) - ceil(0.8 * least(13, len(ws)))::bigint AS wrong FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM benchmark) WHERE len(ws) > 0),
+starts AS (SELECT *, unnest(range(0, len(ws) - w + 1)) AS s FROM items),
+parts AS (SELECT *, j * w // (wrong + 1) AS a, (j + 1) * w // (wrong + 1) AS b FROM (SELECT *, unnest(range(0, wrong + 1)) AS j FROM starts)),
+seeds AS (SELECT item_id, s, w, a, b - a AS n, array_to_string(ws[s + a + 1 : s + b], ' ') AS k FROM parts),
+sizes AS (SELECT DISTINCT n FROM seeds),
+places AS (SELECT doc_id, ws, n, unnest(range(0, len(ws) - n + 1)) AS i FROM docs, sizes WHERE len(ws) >= n),
+grams AS (SELECT doc_id, n, i, array_to_string(ws[i + 1 : i + n], ' ') AS k FROM places),
+lies AS (SELECT DISTINCT doc_id, item_id, s, w, i - a AS o FROM grams JOIN seeds USING (n, k) WHERE i >= a),
+hits AS (SELECT doc_id, l.item_id, o, l.w FROM lies l JOIN docs d USING (doc_id) JOIN items m ON m.item_id = l.item_id
+  WHERE o + l.w <= len(d.ws) AND 100 * len(list_filter(range(1, l.w + 1), lambda x: d.ws[o + x] = m.ws[s + x])) >= 80 * l.w),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_overlap, min(p) AS first_word FROM (SELECT doc_id, unnest(range(o, o + w)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(items, '') AS items, coalesce(n_overlap, 0) AS n_overlap, first_word FROM docs LEFT JOIN named USING (doc_id) LEFT JOIN covered USING (doc_id)""",
+    "op9_suffixes": r"""
+WITH raws AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+starts AS (SELECT r, p, md5(b[p + 1 : p + 400]) AS k FROM (SELECT r, b, unnest(range(0, n - 399)) AS p FROM raws)),
+gone AS (SELECT r, p FROM starts WHERE k IN (SELECT k FROM starts GROUP BY k HAVING count(*) > 1)),
+runs AS (SELECT r, min(p) AS begin, max(p) + 400 AS finish FROM (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS run FROM (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 400 THEN 0 ELSE 1 END AS fresh FROM gone)) GROUP BY r, run),
+pieces AS (SELECT r, coalesce(lag(finish) OVER (PARTITION BY r ORDER BY begin), 0) AS a, begin AS z FROM runs UNION ALL SELECT raws.r, coalesce(max(finish), 0), any_value(n) FROM raws LEFT JOIN runs ON runs.r = raws.r GROUP BY raws.r),
+kept AS (SELECT r, string_agg(CASE WHEN z > a THEN hex(b[a + 1 : z]) ELSE '' END, '' ORDER BY a) AS h FROM pieces JOIN raws USING (r) GROUP BY r),
+sums AS (SELECT r, count(*) AS n_spans, sum(finish - begin)::bigint AS n_removed FROM runs GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256 FROM raws JOIN kept USING (r) LEFT JOIN sums USING (r)""",
 }
