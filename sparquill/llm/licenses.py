@@ -163,24 +163,31 @@ class Scanner:
         return n, places, self._chains(matches)
 
     def _chains(self, matches):
+        """Matches begin ever later, so a chain whose gap is passed is closed: only those within GAP_WORDS are tried."""
         open_: dict[int, list[list[int]]] = {}  # by template: chains of [first word, end, template end, words covered]
-        done = []
+        closed: list[tuple[int, list[int]]] = []
         for end, length, where in matches:
+            begin = end - length
             for t, last in where.items():
                 if t < self.first_template:
                     continue
-                for chain in reversed(open_.setdefault(t, [])):
+                near = []
+                for chain in open_.get(t, ()):
+                    if begin - chain[1] <= GAP_WORDS:
+                        near.append(chain)
+                    else:
+                        closed.append((t, chain))
+                open_[t] = near
+                for chain in reversed(near):
                     fresh = min(length, end - chain[1], last - chain[2])
-                    if fresh > 0 and end - length - chain[1] <= GAP_WORDS:
+                    if fresh > 0:
                         chain[1], chain[2], chain[3] = end, last, chain[3] + fresh
                         break
                 else:
-                    open_[t].append([end - length, end, last, length])
-        for t, chains in open_.items():
-            for first, end, _, covered in chains:
-                if covered >= LEAST_COVER * self.sizes[t]:
-                    done.append((self.labels[t], first, end - 1, covered / self.sizes[t]))
-        return sorted(set(done), key=lambda x: (x[1], x[2], x[0], x[3]))
+                    near.append([begin, end, last, length])
+        closed += [(t, chain) for t, chains in open_.items() for chain in chains]
+        done = {(self.labels[t], first, end - 1, covered / self.sizes[t]) for t, (first, end, _, covered) in closed if covered >= LEAST_COVER * self.sizes[t]}
+        return sorted(done, key=lambda x: (x[1], x[2], x[0], x[3]))
 
 
 def scan(df: DataFrame, text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:

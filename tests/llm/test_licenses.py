@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from sparquill.llm import licenses, queries
 
@@ -46,6 +47,19 @@ def test_chains_bridge_gaps():
     assert s.scan(" ".join(body[:10]))[2] == []
 
 
+def test_chains_are_closed_once_their_gap_is_passed():
+    """Stray fragments of a template, each the beginning of a chain that nothing continues: the time grows with their number only."""
+    s = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)
+    body = dict(licenses.TEMPLATES)["mit"].split()
+    stray = " ".join(body[: licenses.LINK_WORDS + 1] + ["x"] * (licenses.GAP_WORDS + 5)) + " "
+    began = time.process_time()
+    few = s.scan(stray * 400)[2]
+    once = time.process_time() - began
+    many = s.scan(stray * 8000 + " ".join(body))[2]
+    assert few == [] and [(k, c) for k, _, _, c in many] == [("mit", 1.0)]
+    assert time.process_time() - began < 100 * max(once, 0.02)
+
+
 def test_query(spark):
     rows = queries.op5_licenses(spark, "/root/testdata/sf0.001").collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
