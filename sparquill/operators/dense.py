@@ -1,7 +1,8 @@
 """Exact vector search: blocks of queries against all vectors.
 
-A block of queries (at most BLOCK of them, a size that is checked by a count) goes to all tasks; each task multiplies
-it with batches of vectors and passes on the k best rows of a batch for each query only. A window merges them.
+A block of queries (about BLOCK of them, a size that is checked by a count) is broadcast; each task multiplies batches of
+vectors with as many queries at a time as make CELLS scores, and passes on the k best rows of a batch for each query
+only. A window merges them. Each further block takes another pass over the vectors.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .ranking import ranked, top
 
-BLOCK = 2048
+BLOCK, CELLS = 1 << 17, 1 << 21
 
 
 def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
@@ -29,22 +30,36 @@ def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric!r}")
 
 
+def best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k highest scores of each row, ties to the smaller id."""
+    if s.shape[1] > k:
+        rows, at = np.nonzero(s >= np.partition(s, -k, axis=1)[:, -k][:, None])
+    else:
+        rows, at = (x.ravel() for x in np.indices(s.shape))
+    order = np.lexsort((ids[at], -s[rows, at], rows))
+    rows, at = rows[order], at[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], at[keep]
+
+
 def _block(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
     rows = queries.toArrow()  # BLOCK rows, about
     ids = rows.column("query_id").to_numpy()
     q = np.array(rows.column("vector").to_pylist(), np.float64).reshape(len(ids), -1)
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
 
     def run(batches):
+        ids, q = shared.value
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
             vec_ids = batch.column(0).to_numpy()
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vec_ids), -1)
-            s = np.round(_scores(x, q, metric), 6)
-            order = np.lexsort((np.broadcast_to(vec_ids, s.shape), -s), axis=1)[:, : min(k, len(vec_ids))]
-            at = np.repeat(np.arange(len(ids)), order.shape[1])
-            flat = order.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(vec_ids[flat]), pa.array(s[at, flat])], ["query_id", "vec_id", "score"])
+            step = max(1, CELLS // len(vec_ids))
+            for begin in range(0, len(ids), step):
+                s = np.round(_scores(x, q[begin : begin + step], metric), 6)
+                rows, at = best(s, vec_ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[begin + rows]), pa.array(vec_ids[at]), pa.array(s[rows, at])], ["query_id", "vec_id", "score"])
 
     return vectors.mapInArrow(run, "query_id long, vec_id long, score double")
 

@@ -263,3 +263,15 @@ def test_contexts_tell_documents_apart(spark):
     empty = spark.createDataFrame([], "doc_id bigint, page bigint, patch_id bigint, embedding array<double>")
     asked = spark.createDataFrame([(1, [1.0])], "query_id bigint, vector array<double>")
     assert visual.retrieve(empty, asked).count() == 0
+
+
+def test_best_of_a_batch():
+    import numpy as np
+
+    from sparquill.operators import dense
+
+    s = np.array([[1.0, 3.0, 3.0, 3.0], [0.0, 0.0, 0.0, 5.0]])
+    rows, at = dense.best(s, np.array([4, 9, 2, 7]), 2)
+    assert list(zip(rows.tolist(), at.tolist())) == [(0, 2), (0, 3), (1, 3), (1, 2)]
+    rows, at = dense.best(s[:, :1], np.array([4]), 2)
+    assert list(zip(rows.tolist(), at.tolist())) == [(0, 0), (1, 0)]
