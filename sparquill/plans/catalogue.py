@@ -440,7 +440,29 @@ def chunks_fixed_stride(spark, d):
     return chunking.split_stride(table(spark, d, "documents"))
 
 
-@query()
+# Pieces of at least 1000 characters are split again by the next separators; runs of shorter ones are merged: a state of
+# chunks that are full, pieces held and their size takes one piece after another.
+_SEPARATORS = "[chr(10) || chr(10), chr(10), ' ', '']"
+_CUT_OFF = "coalesce(list_filter(range(0, len(a.held) + 1), lambda j: (j = len(a.held) OR a.total - coalesce(list_sum(list_transform(a.held[1 : j], lambda h: length(h))), 0) <= 150 AND a.total - coalesce(list_sum(list_transform(a.held[1 : j], lambda h: length(h))), 0) + e.total <= 1000))[1], 0)"
+_STEP = f"CASE WHEN a.total + e.total > 1000 THEN {{'full': a.full || [array_to_string(a.held, '')], 'held': a.held[{_CUT_OFF} + 1 :] || e.held, 'total': (a.total - coalesce(list_sum(list_transform(a.held[1 : {_CUT_OFF}], lambda h: length(h))), 0) + e.total)::bigint}} ELSE {{'full': a.full, 'held': a.held || e.held, 'total': a.total + e.total}} END"
+
+
+@query(f"""
+WITH RECURSIVE todo(doc_id, path, text, sep) AS (
+  SELECT doc_id, []::bigint[], text, 1::bigint FROM documents WHERE length(text) > 0
+  UNION ALL
+  SELECT doc_id, list_append(path, i), piece, lv + 1 FROM (SELECT doc_id, path, lv, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS i FROM (
+    SELECT doc_id, path, lv, list_filter(CASE WHEN s = '' THEN list_transform(range(1, length(text) + 1), lambda k: text[k]) ELSE list_transform(range(1, len(cut) + 1), lambda k: CASE WHEN k = 1 THEN cut[k] ELSE s || cut[k] END) END, lambda x: x <> '') AS pieces
+    FROM (SELECT *, string_split(text, s) AS cut FROM (SELECT *, ({_SEPARATORS})[lv] AS s FROM (SELECT *, coalesce(list_filter(range(sep, 5), lambda k: contains(text, ({_SEPARATORS})[k]))[1], 4) AS lv FROM todo)))))
+  WHERE lv < 4 AND length(piece) >= 1000),
+split AS (SELECT doc_id, path, lv, list_filter(CASE WHEN s = '' THEN list_transform(range(1, length(text) + 1), lambda k: text[k]) ELSE list_transform(range(1, len(cut) + 1), lambda k: CASE WHEN k = 1 THEN cut[k] ELSE s || cut[k] END) END, lambda x: x <> '') AS pieces
+  FROM (SELECT *, string_split(text, s) AS cut FROM (SELECT *, ({_SEPARATORS})[lv] AS s FROM (SELECT *, coalesce(list_filter(range(sep, 5), lambda k: contains(text, ({_SEPARATORS})[k]))[1], 4) AS lv FROM todo)))),
+each AS (SELECT doc_id, path, lv, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS i FROM split),
+runs AS (SELECT *, sum(CASE WHEN length(piece) >= 1000 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, path ORDER BY i) AS run FROM each),
+groups AS (SELECT doc_id, list_append(path, min(i)) AS path, list_reduce(list({{'full': []::varchar[], 'held': [piece], 'total': length(piece)}} ORDER BY i), lambda a, e: {_STEP}) AS r FROM runs WHERE length(piece) < 1000 GROUP BY doc_id, path, run),
+chunks AS (SELECT doc_id, path, unnest(list_append(r.full, array_to_string(r.held, ''))) AS raw, unnest(range(0, len(r.full) + 1)) AS k FROM groups),
+kept AS (SELECT doc_id, path, k, {sql_strip('raw')} AS text FROM chunks)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY path, k) - 1 AS chunk_index, text, length(text) AS n_chars FROM kept WHERE text <> ''""")
 def chunks_recursive(spark, d):
     return chunking.split_recursive(table(spark, d, "documents"))
 
