@@ -160,10 +160,6 @@ def _few(df: DataFrame, column: str) -> DataFrame:
     return F.broadcast(df) if n[0] <= BROADCAST_NUMBERS // 8 and (n[1] or 0) <= BROADCAST_NUMBERS else df
 
 
-def _cut(x: int, y: int, width: int) -> list[tuple[int, int]]:
-    return [(a, min(a + width - 1, y)) for a in range(x, y + 1, width)]
-
-
 def _compared(texts: DataFrame, states: DataFrame, size: int, width: int) -> DataFrame:
     """states(doc, at, low, high, rank, x, y, done) to parts of ``width`` windows.
 
@@ -172,31 +168,46 @@ def _compared(texts: DataFrame, states: DataFrame, size: int, width: int) -> Dat
     """
     names = ["at", "low", "high", "rank", "x", "y", "done"]
     lists = states.groupBy("doc").agg(F.collect_list(F.struct(*names)).alias("states"))
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
 
     def run(batches):
-        digest, whole = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_intdigest
         for batch in batches:
             for begin in range(0, batch.num_rows, 64):
-                part = batch.slice(begin, 64)
-                out = []
-                for doc, text, own in zip(*[part.column(i).to_pylist() for i in range(3)]):
-                    raw = text.encode("utf-8", "replace")
-                    for s in own:
-                        at, low, high = s["at"], s["low"], s["high"]
-                        for a, b in _cut(s["x"], s["y"], width):
-                            if b < low or a > high or a > at or at + size - b > len(raw):
-                                continue  # not its windows, or all of them beyond the text
-                            first, last = at - min(b, high), at - max(a, low)
-                            all_ = whole(raw[first : last + size], (at - first) << 32 | at - last) | 1 if first >= 0 and last + size <= len(raw) else 0
-                            key = digest(raw[at - a : at + size - b], s["rank"] + a & (1 << 64) - 1)
-                            out.append((doc, at, low, high, a, b, s["done"], key, all_ >> 64, all_ & (1 << 64) - 1))
-                columns = list(zip(*out)) or [[] for _ in range(10)]
-                signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns[7:]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[:7], kinds)] + signed, ["doc", "at", "low", "high", "x", "y", "done", "rank", "w1", "w2"])
+                yield _parts(batch.slice(begin, 64), size, width)
 
     schema = "doc long, at int, low int, high int, x int, y int, done boolean, rank long, w1 long, w2 long"
-    return texts.join(lists, "doc").select("doc", "text", "states").mapInArrow(run, schema)
+    return texts.join(lists, "doc").select("doc", F.col("text").cast("binary").alias("raw"), "states").mapInArrow(run, schema)
+
+
+def _parts(batch: pa.RecordBatch, size: int, width: int) -> pa.RecordBatch:
+    raw, states = batch.column(1), batch.column(2)
+    ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    own = np.repeat(np.arange(len(raw)), np.diff(states.offsets.to_numpy()))
+    at, low, high, rank, x, y, done = (f.to_numpy(zero_copy_only=False) for f in states.flatten().flatten())
+    start, n = ends[own], np.diff(ends)[own]
+    # The parts of each state that hold a window of its own.
+    begin, end = (np.maximum(x, low) - x) // width, (np.minimum(y, high) - x) // width
+    count = np.maximum(end - begin + 1, 0)
+    k = np.repeat(np.arange(len(at)), count)
+    a = x[k] + (np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count) + begin[k]) * width
+    b = np.minimum(a + width - 1, y[k])
+    inside = (a <= at[k]) & (at[k] + size - b <= n[k])
+    k, a, b = k[inside], a[inside], b[inside]
+    first, last = at[k] - np.minimum(b, high[k]), at[k] - np.maximum(a, low[k])
+    fine = (first >= 0) & (last + size <= n[k])
+
+    def hashes(digest, width: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        data = memoryview(raw.buffers()[2]) if len(k) else b""
+        out = b"".join([digest(data[i:j]) for i, j in zip((start[k] + begin).tolist(), (start[k] + end).tolist())])
+        return np.frombuffer(out, np.uint64).reshape(-1, width)
+
+    shared = hashes(xxhash.xxh3_64_digest, 1, at[k] - a, at[k] + size - b)[:, 0]
+    whole = hashes(xxhash.xxh3_128_digest, 2, np.maximum(first, 0), np.minimum(last + size, n[k]))
+    named = hashing.token(rank[k].astype(np.int64), a.astype(np.int64), shared)
+    which = hashing.token((at[k] - first).astype(np.int64), (at[k] - last).astype(np.int64))
+    w1, w2 = (whole[:, 0] ^ which) * fine, (whole[:, 1] | np.uint64(1)) * fine
+    narrow = [pa.array(v.astype(np.int32)) for v in (at[k], low[k], high[k], a, b)]
+    columns = [batch.column(0).take(pa.array(own[k])), *narrow, pa.array(done[k]), *[pa.array(v.view(np.int64)) for v in (named, w1, w2)]]
+    return pa.RecordBatch.from_arrays(columns, ["doc", "at", "low", "high", "x", "y", "done", "rank", "w1", "w2"])
 
 
 def _spans(columns) -> list[pa.Array]:
