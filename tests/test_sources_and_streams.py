@@ -1,10 +1,12 @@
 from datetime import datetime
+from types import SimpleNamespace
 
 import pytest
 
 from sparquill.operators import bm25
 from sparquill.operators.cache import CacheConfig
 from sparquill.plans.config import RetrievalConfig, Settings
+from sparquill.session import work_dir
 from sparquill.sources import files
 from sparquill.streaming import cache, traffic
 
@@ -71,6 +73,14 @@ def test_extract_all(spark, tmp_path):
     assert not (tmp_path / "b" / "figures").exists() and spark.read.text(str(tmp_path / "a" / "metadata")).first().value == '{"title": "t"}'
 
 
+def test_work_folder_is_shared_off_a_local_master():
+    conf = SimpleNamespace(get=lambda key, default: None)
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            work_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="a")))
+    assert work_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[2]", applicationId="b"))) == work_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local", applicationId="b")))
+
+
 def test_settings():
     s = Settings.load({"SPARQUILL_DENSE_PATH": " ", "SPARQUILL_SPARSE_PATH": "s3a://x/y", "SPARQUILL_SAMPLES": "runs"}, "/data")
     assert (s.dense_path, s.sparse_path, s.samples, s.dense_kind) == ("/data/index/dense", "s3a://x/y", "/data/runs", "parquet")
