@@ -156,6 +156,7 @@ def ratios(counted: DataFrame) -> tuple[Table, Table, Table, Table]:
     for k in range(ORDER - 1, 0, -1):
         seen = seen.groupBy(F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("g")).agg(F.count(F.lit(1)).alias("n"))
         lower[k] = seen
+    # At most 256 rows, against one row of their sum.
     p = lower[1].crossJoin(F.broadcast(lower[1].agg(F.sum("n").alias("all"))))
     p = p.select("g", (F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("all") + d * F.lit(1 / 256)).alias("p"))
     for k in range(2, ORDER):

@@ -52,6 +52,15 @@ def test_run_is_the_stages(spark):
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and 0 < out.count() < 200
 
 
+def test_different_texts_of_one_id_are_kept_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(7, a), (7, b), (7, a), (8, a + " more"), (None, b), (None, "c " + " ".join(f"c{i}" for i in range(30))), (None, "c " + " ".join(f"c{i}" for i in range(30))), (9, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = cp.without_copies(spark, docs, DIR)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or -1, (r.text or "")[:2]) for r in out.collect()) == [(-1, "c "), (7, "a0"), (7, "b0"), (9, ""), (9, "")]
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(None, "", "en", "s", 0), (None, None, "en", "s", 0), (1, "word " * 5000, "en", "s", 1), (1, "word " * 5000, "en", "s", 1), (2, "a@b.cd", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in cp.STAGES:
