@@ -64,3 +64,14 @@ def as_documents(items: DataFrame, modality: str) -> DataFrame:
 def with_records(hits: DataFrame, records: DataFrame, key: str = "item_id") -> DataFrame:
     """hits with the whole record of each item; a hit without one keeps its row, with nulls."""
     return hits.join(records, key, "left")
+
+
+def described(images: DataFrame, caption: Column, error: Column | None = None) -> DataFrame:
+    """images(content binary, ...) with description and role, those without content left out.
+
+    ``caption``: struct<description, role> of a provider, null where it failed; ``error`` says why.
+    """
+    failed = caption.isNull() | caption["description"].isNull()
+    why = F.concat(F.lit("caption_failed: "), F.coalesce(error, F.lit("no answer")) if error is not None else F.lit("no answer"))
+    rows = images.where(F.coalesce(F.octet_length("content"), F.lit(0)) > 0)
+    return rows.withColumns({"description": F.when(failed, why).otherwise(caption["description"]), "role": F.when(failed, "unknown").otherwise(F.coalesce(caption["role"], F.lit("unknown")))})

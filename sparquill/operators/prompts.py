@@ -90,6 +90,13 @@ def parsed(body: Column, schema: str) -> Column:
     return F.struct(F.when(~failed, value).alias("value"), failed.alias("failed"))
 
 
+def structured(first: Column, second: Column, schema: str) -> Column:
+    """struct<value, origin>: the first answer if it parses, else the second, else null; origin: first, second or error."""
+    x, y = parsed(first, schema), parsed(second, schema)
+    value = F.when(~x["failed"], x["value"]).when(~y["failed"], y["value"])
+    return F.struct(value.alias("value"), F.when(~x["failed"], "first").when(~y["failed"], "second").otherwise("error").alias("origin"))
+
+
 def first_existing(*paths: Column) -> Column:
     """The first path that is there, of a fixed order of names."""
     return F.coalesce(*[F.when(p != "", p) for p in paths])

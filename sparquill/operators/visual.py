@@ -75,6 +75,23 @@ def confidence(found: DataFrame) -> DataFrame:
     return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_contexts"), F.round(F.avg("confidence") + 1e-12, 6).alias("confidence"))
 
 
+NO_CONTEXT = "No relevant visual context was found."
+
+
+def answers(questions: DataFrame, found: DataFrame, generator) -> DataFrame:
+    """questions(query_id, question), found(query_id, page_rank, doc_id, page, confidence, top_patches) to query_id, answer, confidence, sources.
+
+    ``generator`` answers from the question and array<struct<doc_id, page, confidence, n_patches>>; confidence is the mean of the
+    contexts. A question without contexts gets NO_CONTEXT, 0 and no sources.
+    """
+    source = F.struct("doc_id", "page", "confidence", F.size("top_patches").cast("bigint").alias("n_patches"))
+    listed = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_rank", source.alias("s")))), lambda x: x["s"]).alias("sources"), F.round(F.avg("confidence") + 1e-12, 6).alias("confidence"))
+    rows = questions.join(listed, "query_id", "left")
+    some = F.col("sources").isNotNull()
+    answer = F.when(some, generator(F.col("question"), F.col("sources"))).otherwise(NO_CONTEXT)
+    return rows.select("query_id", answer.alias("answer"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.when(some, F.col("sources")).otherwise(F.array()).alias("sources"))
+
+
 def retrieve(patches: DataFrame, queries: DataFrame, top_pages: int = 5, top_patches: int = 50, aggregation: str = "max", least: float | None = None) -> DataFrame:
     """The whole of visual retrieval: patches(doc_id, page, patch_id, embedding), queries(query_id, vector) to ranked pages.
 

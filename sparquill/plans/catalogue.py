@@ -610,6 +610,18 @@ def visual_prompts(spark, d):
     return listed.select("query_id", prompts.page_prompt(F.concat(F.lit("item "), F.col("query_id").cast("string")), F.transform("r", lambda x: x["p"])).alias("prompt"))
 
 
+@query(
+    f"WITH {_CONTEXTS}, n AS (SELECT query_id, doc_id, page, least(count(*), 3) AS n_patches FROM pn GROUP BY ALL), s AS (SELECT query_id, round(avg(confidence) + 1e-12, 6) AS confidence, count(*) AS n, string_agg(doc_id || '/' || page || '/' || n_patches, ' ' ORDER BY page_rank) AS sources FROM cx JOIN n USING (query_id, doc_id, page) GROUP BY query_id) SELECT vec_id AS query_id, CASE WHEN n IS NULL THEN 'No relevant visual context was found.' ELSE 'see ' || n || ' page(s)' END AS answer, coalesce(confidence, 0) AS confidence, coalesce(sources, '') AS sources FROM embeddings LEFT JOIN s ON query_id = vec_id WHERE vec_id % 50 = 0 OR vec_id = 7"
+)
+def visual_answers(spark, d):
+    scored = visual.page_scores(top_patches(spark, d))
+    found = found_contexts(spark, d).join(scored.select("query_id", "doc_id", "page", "top_patches"), ["query_id", "doc_id", "page"])
+    asked = table(spark, d, "embeddings").where("vec_id % 50 = 0 or vec_id = 7").select(F.col("vec_id").alias("query_id"), F.lit("?").alias("question"))
+    out = visual.answers(asked, found, lambda q, c: F.concat(F.lit("see "), F.size(c).cast("string"), F.lit(" page(s)")))
+    shown = F.array_join(F.transform("sources", lambda s: F.concat_ws("/", s["doc_id"].cast("string"), s["page"].cast("string"), s["n_patches"].cast("string"))), " ")
+    return out.withColumn("sources", shown)
+
+
 @query(f"WITH {_PATCHES}, c AS (SELECT query_id, doc_id, page, least(floor((patch_id % 2) * 0.5 * 16), 15)::bigint AS cell_col, least(floor((patch_id // 2 % 2) * 0.5 * 12), 11)::bigint AS cell_row, max(score) AS score FROM pt GROUP BY ALL), m AS (SELECT *, max(score) OVER (PARTITION BY query_id, doc_id, page) AS most FROM c) SELECT query_id, doc_id, page, cell_row, cell_col, round(CASE WHEN most > 0 THEN score / most ELSE score END, 6) AS heat FROM m")
 def patch_heat(spark, d):
     patches = top_patches(spark, d).withColumns({"x": F.col("patch_id") % 2 * F.lit(0.5), "y": F.floor(F.col("patch_id") / 2) % 2 * F.lit(0.5)})
@@ -881,6 +893,25 @@ def judge_selection(spark, d):
     return rows.withColumn("selected", evaluate.is_judged(F.col("content_type")))
 
 
+_STRUCTURED = [(1, '{"answer": "a"}', None), (2, "broken", '{"answer": "b"}'), (3, None, "broken"), (4, None, None)]
+
+
+@query(f"SELECT id::bigint AS id, CASE WHEN json_valid(x) THEN x::json ->> 'answer' WHEN json_valid(y) THEN y::json ->> 'answer' END AS answer, CASE WHEN json_valid(x) THEN 'first' WHEN json_valid(y) THEN 'second' ELSE 'error' END AS origin FROM {values(_STRUCTURED, 'id, x, y')}")
+def structured_answers(spark, d):
+    rows = spark.createDataFrame(_STRUCTURED, "id bigint, x string, y string")
+    return rows.select("id", prompts.structured(F.col("x"), F.col("y"), "answer string").alias("s")).select("id", "s.value.answer", "s.origin")
+
+
+_CAPTIONED = [(1, "img", "A bar chart", "chart", None), (2, "img", None, None, "timeout"), (3, "", "unused", "chart", None), (4, "img", "A logo", None, None), (5, None, None, None, None), (6, "img", None, None, None)]
+
+
+@query(f"SELECT id::bigint AS id, CASE WHEN caption IS NULL THEN 'caption_failed: ' || coalesce(error, 'no answer') ELSE caption END AS description, CASE WHEN caption IS NULL THEN 'unknown' ELSE coalesce(role, 'unknown') END AS role FROM {values(_CAPTIONED, 'id, content, caption, role, error')} WHERE length(content) > 0")
+def described_images(spark, d):
+    rows = spark.createDataFrame(_CAPTIONED, "id bigint, content string, caption string, chart string, error string").withColumn("content", F.col("content").cast("binary"))
+    caption = F.struct(F.col("caption").alias("description"), F.col("chart").alias("role"))
+    return multimodal.described(rows, caption, F.col("error")).select("id", "description", "role")
+
+
 _VERDICTS = [(1, "combination", '{"score": 0.75, "reasoning": "good"}'), (2, "image", "no json"), (3, "image", None), (4, "text", '{"score": 1.0, "reasoning": "good"}'), (5, "combination", '{"reasoning": "no score"}'), (6, None, None)]
 
 

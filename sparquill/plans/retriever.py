@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,3 +63,12 @@ class Retriever:
     def documents(self, queries: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
         """The found documents themselves, in order."""
         return ranked(self.retrieve(queries, config).join(self.docs, "doc_id"), [F.col("rank")], name="position")
+
+    def similarity_search(self, queries: DataFrame, k: int = 5) -> DataFrame:
+        """The documents of plain dense retrieval, as a vector store gives them."""
+        return self.documents(queries, RetrievalConfig(mode="dense", top_k=k))
+
+
+def retrieve(store: Retriever, queries: DataFrame, k: int = 5, config: RetrievalConfig | None = None) -> DataFrame:
+    """The k first documents by a configuration, whatever its own k, or by plain dense retrieval without one."""
+    return store.similarity_search(queries, k) if config is None else store.documents(queries, replace(config, top_k=k))

@@ -39,6 +39,17 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
+def read_manifest(spark: SparkSession, path: str, folder: str, schema: str, file_col: str = "file_name") -> DataFrame:
+    """Rows of a JSON manifest whose file is in the folder; none where there is no manifest."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).json(path)
+    if not exists(spark, folder):
+        return rows.limit(0)
+    there = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias(file_col))
+    return rows.join(there, file_col, "left_semi")
+
+
 def load_dense(spark: SparkSession, kind: str, path: str) -> DataFrame:
     """A dense store, vectors with the documents they stand for; ``kind``: parquet or json. An unknown kind is a ValueError, a missing store a FileNotFoundError."""
     if kind not in ("parquet", "json"):

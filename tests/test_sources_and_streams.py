@@ -6,6 +6,7 @@ import pytest
 from sparquill.operators import bm25
 from sparquill.operators.cache import CacheConfig
 from sparquill.plans.config import RetrievalConfig, Settings
+from sparquill.plans.retriever import retrieve
 from sparquill.session import work_dir
 from sparquill.sources import files
 from sparquill.streaming import cache, traffic
@@ -53,6 +54,17 @@ def test_stores_by_kind(spark, tmp_path):
     bm25.save(bm25.build(docs), str(tmp_path / "bm25"))
     both = files.load_retriever(spark, "parquet", str(tmp_path / "dense"), str(tmp_path / "bm25"))
     assert both.retrieve(asked, RetrievalConfig(mode="sparse")).first().doc_id == 3
+    assert [r.doc_id for r in both.similarity_search(asked, 2).collect()] == [r.doc_id for r in retrieve(both, asked, 2).collect()] == [1, 3]
+    assert [r.text for r in retrieve(both, asked, 1, RetrievalConfig(mode="sparse", top_k=9)).collect()] == ["red hen"]
+
+
+def test_manifest_rows_without_a_file_are_skipped(spark, tmp_path):
+    (tmp_path / "images").mkdir()
+    (tmp_path / "images" / "a.png").write_bytes(b"x")
+    (tmp_path / "m.json").write_text('{"file_name": "a.png", "page": 1}\n{"file_name": "b.png", "page": 2}\n')
+    schema = "file_name string, page int"
+    read = lambda manifest, folder: [r.page for r in files.read_manifest(spark, str(tmp_path / manifest), str(tmp_path / folder), schema).collect()]
+    assert read("m.json", "images") == [1] and read("none.json", "images") == [] and read("m.json", "none") == []
 
 
 def test_sample_names_and_summary(spark, tmp_path):
