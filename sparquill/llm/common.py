@@ -10,6 +10,7 @@ Rules that all operators follow:
 from __future__ import annotations
 
 import atexit
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -26,7 +27,10 @@ SLICE_ROWS = 256
 #: A table is broadcast only if it is stored and has no more rows and no more bytes on disk.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
+COLLECT_S = 1.0
+
 _written: list[str] = []
+_collected = [0.0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,13 +48,23 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     if not _written:
         atexit.register(release, spark)
     _written.append(path)
-    # Spark has no call that drops the shuffle files of a finished write: its cleaner waits for the driver to collect the plan.
-    spark.sparkContext._jvm.System.gc()
+    _collect(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def _collect(spark: SparkSession) -> None:
+    """Collect the driver's garbage, once a COLLECT_S at most.
+
+    Spark has no call that drops the shuffle files of a finished write: its cleaner waits for the driver to collect the plan.
+    """
+    now = time.monotonic()
+    if now - _collected[0] >= COLLECT_S:
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for df in tables:
